@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from .langid import op10_language_id
+from .token_file import op2_token_files
 from .toxicity import op9_toxicity
+from .warc import OP8_SQL, op8_warc
 
 QUERIES = {
+    "op2_token_files": op2_token_files,
+    "op8_warc": op8_warc,
     "op9_toxicity": op9_toxicity,
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op8_warc": OP8_SQL}
