@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from .html_main import op1_main_text
 from .langid import op10_language_id
+from .ogg import op4_ogg
 from .token_file import op2_token_files
 from .toxicity import op9_toxicity
 from .warc import OP8_SQL, op8_warc
 
 QUERIES = {
+    "op1_main_text": op1_main_text,
     "op2_token_files": op2_token_files,
+    "op4_ogg": op4_ogg,
     "op8_warc": op8_warc,
     "op9_toxicity": op9_toxicity,
     "op10_language_id": op10_language_id,
