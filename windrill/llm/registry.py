@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .html_main import op1_main_text
+from .jaccard import OP3_SQL, op3_jaccard
 from .langid import op10_language_id
 from .ogg import op4_ogg
 from .token_file import op2_token_files
@@ -12,10 +13,11 @@ from .warc import OP8_SQL, op8_warc
 QUERIES = {
     "op1_main_text": op1_main_text,
     "op2_token_files": op2_token_files,
+    "op3_jaccard": op3_jaccard,
     "op4_ogg": op4_ogg,
     "op8_warc": op8_warc,
     "op9_toxicity": op9_toxicity,
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL = {"op8_warc": OP8_SQL}
+ORACLE_SQL = {"op3_jaccard": OP3_SQL, "op8_warc": OP8_SQL}
