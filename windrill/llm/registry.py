@@ -6,6 +6,7 @@ from .html_main import op1_main_text
 from .jaccard import OP3_SQL, op3_jaccard
 from .langid import op10_language_id
 from .ogg import op4_ogg
+from .pii import op7_pii
 from .token_file import op2_token_files
 from .toxicity import op9_toxicity
 from .warc import OP8_SQL, op8_warc
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_token_files": op2_token_files,
     "op3_jaccard": op3_jaccard,
     "op4_ogg": op4_ogg,
+    "op7_pii": op7_pii,
     "op8_warc": op8_warc,
     "op9_toxicity": op9_toxicity,
     "op10_language_id": op10_language_id,
