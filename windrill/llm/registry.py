@@ -6,6 +6,7 @@ from .html_main import op1_main_text
 from .jaccard import OP3_SQL, op3_jaccard
 from .langid import op10_language_id
 from .ogg import op4_ogg
+from .piece import op6_pieces
 from .pii import op7_pii
 from .token_file import op2_token_files
 from .toxicity import op9_toxicity
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_token_files": op2_token_files,
     "op3_jaccard": op3_jaccard,
     "op4_ogg": op4_ogg,
+    "op6_pieces": op6_pieces,
     "op7_pii": op7_pii,
     "op8_warc": op8_warc,
     "op9_toxicity": op9_toxicity,

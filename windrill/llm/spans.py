@@ -46,31 +46,41 @@ class SpanTable:
         self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, self.dtype)
 
+    def unknown(self, h: np.ndarray, pending: set[int]) -> np.ndarray:
+        """Indices of the first span of each hash that is neither in the table nor pending; pending gets them."""
+        kinds, first = np.unique(h, return_index=True)
+        at = np.minimum(np.searchsorted(self.keys, kinds), max(0, len(self.keys) - 1))
+        new = first[self.keys[at] != kinds] if len(self.keys) else first
+        if pending:
+            new = np.array([i for i in new.tolist() if int(h[i]) not in pending], np.int64)
+        pending.update(h[new].tolist())
+        return new
+
+    def add(self, hashes: np.ndarray, words: list[str]) -> None:
+        if not len(words):
+            return
+        flat, size = self.encode_new(words)
+        begin = len(self.flat) + np.cumsum(size) - size
+        self.flat = np.concatenate([self.flat, flat.astype(self.dtype)])
+        order = np.argsort(np.concatenate([self.keys, hashes]), kind="stable")
+        self.keys = np.concatenate([self.keys, hashes])[order]
+        self.at = np.concatenate([self.at, begin])[order]
+        self.size = np.concatenate([self.size, size])[order]
+
+    def lookup(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all spans one after another, ids of each span); every hash is in the table."""
+        if not len(h):
+            return np.zeros(0, self.dtype), np.zeros(0, np.int64)
+        kinds, inverse = np.unique(h, return_inverse=True)
+        at = np.searchsorted(self.keys, kinds)
+        size = self.size[at][inverse]
+        return self.flat[ragged(self.at[at][inverse], size)], size
+
     def encode(self, text: str, units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all spans one after another, ids of each span); text: what units were taken from."""
-        if not len(starts):
-            return np.zeros(0, self.dtype), np.zeros(0, np.int64)
         if len(self.keys) > LIMIT:
             self.clear()
         h = hash_spans(units, starts, ends)
-        order = np.argsort(h)
-        sorted_h = h[order]
-        fresh = np.r_[True, sorted_h[1:] != sorted_h[:-1]]
-        kinds, first = sorted_h[fresh], order[fresh]
-        inverse = np.empty(len(h), np.int64)
-        inverse[order] = np.cumsum(fresh) - 1
-        at = np.searchsorted(self.keys, kinds)
-        known = np.zeros(len(kinds), bool)
-        inside = at < len(self.keys)
-        known[inside] = self.keys[at[inside]] == kinds[inside]
-        new = np.flatnonzero(~known)
-        if len(new):
-            flat, size = self.encode_new([text[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
-            begin = len(self.flat) + np.cumsum(size) - size
-            self.flat = np.concatenate([self.flat, flat.astype(self.dtype)])
-            self.keys = np.insert(self.keys, at[new], kinds[new])
-            self.at = np.insert(self.at, at[new], begin)
-            self.size = np.insert(self.size, at[new], size)
-            at = np.searchsorted(self.keys, kinds)
-        size = self.size[at][inverse]
-        return self.flat[ragged(self.at[at][inverse], size)], size
+        new = self.unknown(h, set())
+        self.add(h[new], [text[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist())])
+        return self.lookup(h)
