@@ -29,6 +29,8 @@ from .shared import cut, read_file, read_table, work_folder, write_file
 
 MIN_PAYLOAD = 1000
 FILE_BYTES = 32 << 20
+#: a member is inflated in pieces, so that what follows it isn't copied
+PIECE = 1 << 15
 DATE = "2024-01-01T00:00:00Z"
 
 RECORD_SCHEMA = "record_id string, kind string, concurrent_to string, page_id long, url string, payload_bytes long, payload_digest string, refers_to long"
@@ -70,10 +72,14 @@ def parse(raw: bytes):
     at = 0
     while at < len(raw):
         d = zlib.decompressobj(31)
-        text = d.decompress(view[at:])
-        if not d.eof:
-            raise ValueError("truncated record")
-        at = len(raw) - len(d.unused_data)
+        parts = []
+        while not d.eof:
+            if at >= len(raw):
+                raise ValueError("truncated record")
+            parts.append(d.decompress(view[at : at + PIECE]))
+            at += min(PIECE, len(raw) - at)
+        at -= len(d.unused_data)
+        text = b"".join(parts)
         end = text.index(b"\r\n\r\n")
         if not text.startswith(b"WARC/"):
             raise ValueError("no WARC record")
