@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontam import op5_decontaminate
 from .html_main import op1_main_text
 from .jaccard import OP3_SQL, op3_jaccard
 from .langid import op10_language_id
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_token_files": op2_token_files,
     "op3_jaccard": op3_jaccard,
     "op4_ogg": op4_ogg,
+    "op5_decontaminate": op5_decontaminate,
     "op6_pieces": op6_pieces,
     "op7_pii": op7_pii,
     "op8_warc": op8_warc,

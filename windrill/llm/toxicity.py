@@ -244,6 +244,18 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
 
 
+def drop_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5) -> DataFrame:
+    """docs without the rows whose text scores at or above the threshold; all columns stay, and no row moves."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for b in batches:
+            keep = lexicon.scores([t or "" for t in b.column(at).to_pylist()]) < threshold
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def not_held_out():
     return F.crc32(F.col("doc_id").cast("string")) % 5 != 0
 
