@@ -241,13 +241,22 @@ def meet(blobs: list[tuple[bytes, bytes, bytes, bytes]], batch: int = 1_000_000)
 
 
 def meetings(packed: DataFrame, pair_parts: int) -> DataFrame:
-    """Packed pairs (part, pairs): signatures, sizes and times of meeting; a pair always goes to the same part."""
+    """Packed pairs (part, pairs): signatures, times of meeting and times needed; a pair always goes to the same part."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for kinds, size, u, c in meet(list(zip(pdf.sets, pdf["keys"], pdf.owner, pdf.place))):
             x, y = u >> 32, u & 0xFFFFFFFF  # kinds are sorted, so the smaller index is the smaller signature
             least = np.minimum(NEED, need(size[x], size[y]))
+            # pairs that meet often enough right here are edges: their spanning forest stands for them, and pairs within one
+            # of its components add nothing to the regions
+            strong = c >= least
+            node, root = forest(x[strong], y[strong])
+            label = np.arange(len(kinds))
+            label[node] = root
+            apart = label[x] != label[y]
+            x, y = np.concatenate([root, x[apart]]), np.concatenate([node, y[apart]])
+            c, least = np.concatenate([np.full(len(node), NEED), c[apart]]), np.concatenate([np.ones(len(node), np.int64), least[apart]])
             a, b = kinds[x], kinds[y]
             part = (a ^ b * 31) % pair_parts
             order = np.argsort(part, kind="stable")
