@@ -37,8 +37,9 @@ def slice_time(df: DataFrame, time: str, size_ms: int, boundary: str = "left") -
     if boundary not in ("left", "right"):
         raise AnalysisError(f"unknown boundary {boundary}")
     t = F.col(time) if boundary == "left" else F.col(time) - F.expr("INTERVAL 0.000001 SECOND")
-    df = df.withColumn("__w", F.window(t, f"{size_ms} milliseconds", None, f"{offset_ms(size_ms)} milliseconds"))
-    return _with(df, F.col("__w.start"), F.col("__w.start"), F.col("__w.end"), "interval").drop("__w")
+    # the window itself is the key: on a stream it carries the watermark
+    df = df.withColumn("__w_id", F.window(t, f"{size_ms} milliseconds", None, f"{offset_ms(size_ms)} milliseconds"))
+    return df.withColumns({"__w_start": F.col("__w_id.start"), "__w_end": F.col("__w_id.end"), "__w_reason": F.lit("interval")})
 
 
 def _absorbing(buckets: DataFrame) -> DataFrame:
@@ -124,8 +125,8 @@ def slide(df: DataFrame, time: str, size_ms: int, advance_ms: int) -> DataFrame:
     """Overlapping windows of size, one begun every advance."""
     if advance_ms <= 0 or size_ms < advance_ms:
         raise AnalysisError("a sliding window needs 0 < advance <= length")
-    df = df.withColumn("__w", F.window(time, f"{size_ms} milliseconds", f"{advance_ms} milliseconds", f"{offset_ms(advance_ms)} milliseconds"))
-    return _with(df, F.col("__w.start"), F.col("__w.start"), F.col("__w.end"), "interval").drop("__w")
+    df = df.withColumn("__w_id", F.window(time, f"{size_ms} milliseconds", f"{advance_ms} milliseconds", f"{offset_ms(advance_ms)} milliseconds"))
+    return df.withColumns({"__w_start": F.col("__w_id.start"), "__w_end": F.col("__w_id.end"), "__w_reason": F.lit("interval")})
 
 
 def session(df: DataFrame, opened: Column, closed: Column, inclusive: bool, order: list[str], groups: tuple[str, ...], emit_incomplete: bool = False) -> DataFrame:

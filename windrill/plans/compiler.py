@@ -38,6 +38,10 @@ def compile_plan(plan: Plan, df: DataFrame, order_by: list[str] | None = None, k
     scope = Scope(df.schema, derived)
     for g in plan.groups:
         scope.get(g)
+    clash = {a.alias for a in plan.aggregates} | {p.alias for p in plan.projections}
+    clash &= set(plan.groups)
+    if clash:
+        raise AnalysisError(f"{', '.join(sorted(clash))}: both a result and a group field")
     if plan.where is not None:
         df = df.where(condition(plan.where, scope))
     time = spec.based_on
@@ -62,9 +66,6 @@ def compile_plan(plan: Plan, df: DataFrame, order_by: list[str] | None = None, k
             continue  # a name repeated in the clause is written once
         seen.add(p.alias)
         chosen.append(c.alias(p.alias))
-    clash = seen & set(plan.groups)
-    if clash:
-        raise AnalysisError(f"{', '.join(sorted(clash))}: both a projection and a group field")
     extra = [F.col("__w_start").alias("window_start"), F.col("__w_end").alias("window_end")] if keep_window else []
     out = out.select(*chosen, *[F.col(f"`{g}`") for g in plan.groups], *extra)
     if plan.project_where is not None:

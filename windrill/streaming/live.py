@@ -70,7 +70,7 @@ class _Sessions(StatefulProcessor):
         sid, is_open, since = tuple(self.mark.get()) if self.mark.exists() else (0, False, 0)
         every = pd.concat(list(rows)).sort_values(self.order, kind="stable")
         for r in every[self.schema.names].itertuples(index=False, name=None):
-            o, c, t = (r[self.schema.names.index(n)] for n in ("__o", "__c", "__t"))
+            o, c, t = (r[self.schema.names.index(n)] for n in ("window_opens", "window_closes", "window_micros"))
             t = int(t)
             if is_open and self.expire_us is not None and t - since > self.expire_us:
                 is_open = False
@@ -143,7 +143,7 @@ def stateful_rows(plan: Plan, stream: DataFrame, order_by: list[str], lateness:
         t = time_columns(stream).get(spec.based_on, spec.based_on)
         if spec.expire is not None:
             stream = stream.withWatermark(t, lateness)
-        stream = stream.withColumns({"__o": F.coalesce(condition(spec.open, scope), F.lit(False)), "__c": F.coalesce(condition(spec.close, scope), F.lit(False)), "__t": F.unix_micros(F.col(t).cast("timestamp")) if t else F.lit(0).cast("long")})
+        stream = stream.withColumns({"window_opens": F.coalesce(condition(spec.open, scope), F.lit(False)), "window_closes": F.coalesce(condition(spec.close, scope), F.lit(False)), "window_micros": F.unix_micros(F.col(t).cast("timestamp")) if t else F.lit(0).cast("long")})
     elif spec.kind != "slice_rows":
         raise AnalysisError("stateful_rows needs a session or a slice of rows")
     groups = list(plan.groups) if spec.kind == "session" or spec.per_group else []
@@ -157,7 +157,7 @@ def stateful_rows(plan: Plan, stream: DataFrame, order_by: list[str], lateness:
 
 def aggregate_rows(plan: Plan, rows: DataFrame, order_by: list[str]) -> DataFrame:
     """The aggregates, filters and projections of a plan over the rows that stateful_rows gave, in a batch."""
-    rows = rows.withColumnRenamed("__w_id", "session_window").drop("__o", "__c", "__t", "__key")
+    rows = rows.withColumnRenamed("__w_id", "session_window").drop("window_opens", "window_closes", "window_micros", "__key")
     spec = WindowSpec("slice_range", 1, based_on="session_window")
     return compile_plan(Plan(plan.source, plan.groups, None, spec, plan.aggregates, plan.having, plan.projections, plan.project_where, plan.sink), rows.drop("__w_reason"), order_by)
 
