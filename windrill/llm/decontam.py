@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .shared import read_table
 from .textnum import word_hashes
 
-VOCABULARY, RANK, PASSAGE, BLOCK = 1 << 15, 48, 64, 16
+VOCABULARY, RANK, PASSAGE, BLOCK = 1 << 15, 24, 64, 16
 CONTEXTS, SLICES, ITEM_BLOCK = 400, 16, 4096
 COVER, SHARE, STRETCH, ANSWERS = 0.6, 0.6, 1.6, 3
 #: below the least cosine that an item keeps among sampled contexts; contexts of another language lie further off
@@ -185,13 +185,13 @@ class Items:
         self.answers = [set(w[np.argsort(-g, kind="stable")].tolist()[: 4 * ANSWERS]) and set(list(dict.fromkeys(w[np.argsort(-g, kind="stable")].tolist()))[:ANSWERS]) for w, g in zip(words, weight)]
         self.lists = [w.tolist() for w in words]
 
-    def search(self, h: np.ndarray, at: np.ndarray, idf: np.ndarray, basis: np.ndarray):
-        """Yields (text, item, common words, cosine, start, end) of what a run of texts holds."""
+    def search(self, h: np.ndarray, at: np.ndarray, weighted: np.ndarray):
+        """Yields (text, item, common words, cosine, start, end) of what a run of texts holds; weighted: basis rows times idf."""
         if not len(h):
             return
         start, own = _starts(at, BLOCK)
         word = bucket(h)
-        block = np.add.reduceat(basis[word] * idf[word].astype(np.float32)[:, None], start)
+        block = np.add.reduceat(weighted[word], start)
         where = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
         hits = np.flatnonzero(self.keys[where] == h)
         held = np.zeros((len(start), len(self.ids)), np.float32)
@@ -203,19 +203,17 @@ class Items:
         upto = np.concatenate([[0], np.cumsum(np.bincount(own, minlength=len(at) - 1))])  # blocks of each text
         for m in np.unique(self.blocks):
             of_size = np.flatnonzero(self.blocks == m)
-            cover = held[:, of_size].copy()
-            vector = block.copy()
-            for k in range(1, m):
-                same = own[k:] == own[: n - k]
-                cover[: n - k][same] += held[k:][:, of_size][same]
-                vector[: n - k][same] += block[k:][same]
-            # a passage must hold the item's content and be near it in the latent space
-            b, j = np.nonzero(cover >= COVER - 1e-4)
-            if not len(b):
-                continue
-            cos = (vector[b] * self.vector[of_size[j]]).sum(1) / np.maximum(np.linalg.norm(vector[b], axis=1), 1e-9)
-            good = cos >= self.threshold[of_size[j]]
-            for bb, k, c in zip(b[good].tolist(), of_size[j[good]].tolist(), cos[good].tolist()):
+            part = np.ascontiguousarray(held[:, of_size])
+            cover, vector = part.copy(), block.copy()
+            for k in range(1, min(m, n)):
+                same = (own[k:] == own[: n - k])[:, None]
+                np.add(cover[: n - k], part[k:], out=cover[: n - k], where=same)
+                np.add(vector[: n - k], block[k:], out=vector[: n - k], where=same)
+            vector /= np.maximum(np.linalg.norm(vector, axis=1, keepdims=True), 1e-9)
+            cos = vector @ self.vector[of_size].T
+            # a passage must be near the item in the latent space and hold its content
+            b, j = np.nonzero((cover >= COVER - 1e-4) & (cos >= self.threshold[of_size]))
+            for bb, k, c in zip(b.tolist(), of_size[j].tolist(), cos[b, j].tolist()):
                 text = own[bb]
                 last = min(bb + m, upto[text + 1])
                 end = int(start[last]) if last < upto[text + 1] else int(at[text + 1])
@@ -269,11 +267,12 @@ def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches):
             own, (w, v) = these.value, model.value
+            weighted = v * w[:, None].astype(np.float32)
             for b in batches:
                 doc = b.column("doc_id").to_pylist()
                 best: dict[tuple, tuple] = {}
                 for a, h, at in sequences(b.column("text").to_pylist()):
-                    for text, k, common, c, s, e in own.search(h, at, w, v):
+                    for text, k, common, c, s, e in own.search(h, at, weighted):
                         key = (doc[a + text], own.ids[k])
                         value = (common, round(c, 4), -s, e, len(own.lists[k]))
                         if value > best.get(key, (0,)):
