@@ -5,9 +5,9 @@ they imitate. One Aho-Corasick automaton then finds every lexicon entry and exce
 it begins a word; an entry marked whole must also end it. Matches inside an exception phrase are dropped. The summed weights,
 raw and divided by the square root of the number of words, feed a logistic curve that gives the score.
 
-The lexicon is learned: of a bounded sample of labelled training texts (SAMPLE rows, those with the smallest hash of their id)
+The lexicon is learned: of a bounded sample of labelled training texts (SAMPLE rows, those with the smallest hash of their id; of copies one)
 document frequencies of whole words and word beginnings are counted by label. Entries are those with at least MIN_DF toxic
-texts and a smoothed log-odds of at least MIN_WEIGHT; a beginning is kept only if no shorter kept beginning says as much.
+texts, a share MIN_SHARE of them, and a smoothed log-odds of at least MIN_WEIGHT; a beginning is kept only if no shorter kept beginning says as much.
 Exception phrases are pairs of neighbouring words that hold an entry, in clean texts alone and at least MIN_EXCEPTION times.
 Everything is scored over whole texts.
 
@@ -25,12 +25,13 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .shared import read_table
 
 SAMPLE = 20_000
-MIN_DF, MIN_WEIGHT, MIN_EXCEPTION, MAX_ENTRIES = 8, 3.0, 3, 4000
+MIN_DF, MIN_SHARE, MIN_WEIGHT, MIN_EXCEPTION, MAX_ENTRIES = 8, 0.008, 3.0, 3, 4000
 PREFIXES = (4, 5, 6)
 
 _LOOKALIKE = {
@@ -77,6 +78,16 @@ def sample_labels(labels: DataFrame, training, size: int = SAMPLE) -> DataFrame:
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
 
 
+def distinct_texts(rows: DataFrame) -> DataFrame:
+    """One row of those whose least hash of three neighbouring words is the same: copies and most near copies of a text, which
+    would make their whole vocabulary look typical of their label. The smallest doc_id stays."""
+    words = F.split(F.lower("text"), r"\s+")
+    triples = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - 2, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("_w", i, 3), " ")))
+    rows = rows.withColumn("_w", words).withColumn("_s", F.array_min(triples))
+    place = F.row_number().over(W.partitionBy("_s").orderBy("doc_id", "text"))  # at most SAMPLE rows in all
+    return rows.withColumn("_p", place).where("_p = 1").drop("_w", "_s", "_p")
+
+
 def _features(batches):
     """Document frequencies of a task: (kind, term, toxic, clean); kind w: word, p: beginning, b: pair of words, n: texts."""
     count: Counter = Counter()
@@ -183,7 +194,7 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 def fit(docs: DataFrame, labels: DataFrame, training, size: int = SAMPLE) -> Lexicon:
     """Learns from the sample of labelled rows; docs: doc_id, text; labels: doc_id, toxic; training: a condition on doc_id."""
     chosen = sample_labels(labels, training, size)  # at most size rows, so the broadcast is bounded
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").persist()
+    rows = distinct_texts(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).persist()
     try:
         counts = rows.mapInArrow(_features, "kind string, term string, y int, n long").groupBy("kind", "term").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("neg"))
         counts = counts.persist()
@@ -193,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, training, size: int = SAMPLE) -> Lex
             counts.unpersist()
             return Lexicon({})
         weight = F.log((F.col("pos") + 0.5) / (pos + 1)) - F.log((F.col("neg") + 0.5) / (neg + 1))
-        best = counts.where((F.col("kind") != "n") & (F.col("pos") >= MIN_DF)).withColumn("w", weight).where(F.col("w") >= MIN_WEIGHT)
+        best = counts.where((F.col("kind") != "n") & (F.col("pos") >= max(MIN_DF, MIN_SHARE * pos))).withColumn("w", weight).where(F.col("w") >= MIN_WEIGHT)
         found = best.orderBy(F.desc(F.col("w") * F.col("pos")), "kind", "term").limit(MAX_ENTRIES).collect()
         counts.unpersist()
         begin = {r.term: r for r in found if r.kind == "p"}
