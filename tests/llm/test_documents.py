@@ -66,6 +66,7 @@ def test_jaccard_join_equals_brute_force(spark):
 
 def test_jaccard_join_in_blocks_and_many_parts(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "REGION", 4)
+    monkeypatch.setattr(jaccard, "COLLECT", 0)
     monkeypatch.setattr(jaccard, "KEYS_PER_PART", 500)
     rows = corpus(9, 8)
     got = sorted((r.doc_id, r.n_shingles, r.n_similar, r.component_id) for r in jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect())

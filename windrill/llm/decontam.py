@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import read_table
+from .shared import read_table, small
 from .textnum import word_hashes
 
 VOCABULARY, RANK, PASSAGE, BLOCK = 1 << 15, 24, 64, 16
@@ -70,7 +70,7 @@ def _sum_slices(df: DataFrame, dtype: str) -> list:
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     def run(batches):
         df, n = np.zeros(VOCABULARY, np.int64), 0
-        for b in batches:
+        for b in small(batches):
             for _, h, at in sequences(b.column("text").to_pylist()):
                 own = np.repeat(np.arange(len(at) - 1), np.diff(at))
                 pair = np.sort(own * VOCABULARY + bucket(h))
@@ -103,7 +103,7 @@ def latent_basis(docs: DataFrame, idf: np.ndarray, seed: int = 11) -> np.ndarray
         omega = np.random.Generator(np.random.PCG64(seed)).standard_normal((VOCABULARY, width), dtype=np.float32)
         scaled = omega * weight[:, None]
         y = np.zeros((VOCABULARY, width), np.float32)
-        for b in batches:
+        for b in small(batches):
             for _, h, at in sequences(b.column("text").to_pylist()):
                 if not len(h):
                     continue
@@ -268,7 +268,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def run(batches):
             own, (w, v) = these.value, model.value
             weighted = v * w[:, None].astype(np.float32)
-            for b in batches:
+            for b in small(batches):
                 doc = b.column("doc_id").to_pylist()
                 best: dict[tuple, tuple] = {}
                 for a, h, at in sequences(b.column("text").to_pylist()):

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import cut, read_table
+from .shared import cut, read_table, small
 from .textnum import shingles, word_hashes
 
 EPS = 0.4
@@ -43,8 +43,10 @@ EPS = 0.4
 NEED = 3
 BUCKETS = 1 << 22
 SLICES = 64
-KEYS_PER_PART = 1_500_000
+KEYS_PER_PART = 1_000_000
 LEAF, REGION = 256, 3000
+#: so many edges at most come to the driver, 16 bytes each
+COLLECT = 500_000
 #: sets of this many shingles in total make one task's block
 REGION_SHINGLES = 4_000_000
 
@@ -82,7 +84,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, text -> row id, doc_id, sig (0: empty), n."""
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             sig, n = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
             for k, s in document_sets(b.column("text").to_pylist()):
                 if len(s):
@@ -98,15 +100,15 @@ def shingle_counters(docs: DataFrame) -> np.ndarray:
     def run(batches):
         total = np.zeros(BUCKETS, np.uint32)
         seen: set[int] = set()
-        for b in batches:
+        for b in small(batches):
             for _, s in document_sets(b.column("text").to_pylist()):
                 if len(s) and (h := set_hash(s)) not in seen:
                     if len(seen) < 1 << 20:
                         seen.add(h)
                     np.add.at(total, _bucket(s), np.uint32(1))
         for k, part in enumerate(total.reshape(SLICES, -1)):
-            small = part.astype(np.uint8) if part.max() < 256 else part
-            yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int32()), "v": pa.array([small.tobytes()], pa.binary())})
+            narrow = part.astype(np.uint8) if part.max() < 256 else part
+            yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int32()), "v": pa.array([narrow.tobytes()], pa.binary())})
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         size = BUCKETS // SLICES
@@ -145,7 +147,7 @@ def replicas(docs: DataFrame, counters, parts: int) -> DataFrame:
         table = counters.value
         seen: set[int] = set()
         sigs, sizes, keys, owner, place, have = [], [], [], [], [], 0
-        for b in batches:
+        for b in small(batches):
             for _, s in document_sets(b.column("text").to_pylist()):
                 if not len(s) or (h := set_hash(s)) in seen:
                     continue
@@ -162,7 +164,7 @@ def replicas(docs: DataFrame, counters, parts: int) -> DataFrame:
                 sigs.append(h)
                 sizes.append(n)
                 have += w
-                if have > 1_500_000 or len(sigs) >= 60_000:
+                if have > 800_000 or len(sigs) >= 60_000:
                     yield pack(np.array(sigs), np.array(sizes), *map(np.concatenate, (keys, owner, place)))
                     sigs, sizes, keys, owner, place, have = [], [], [], [], [], 0
         if sigs:
@@ -171,7 +173,7 @@ def replicas(docs: DataFrame, counters, parts: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "part int, sets binary, keys binary, owner binary, place binary")
 
 
-def meet(blobs: list[tuple[bytes, bytes, bytes, bytes]], batch: int = 1_000_000):
+def meet(blobs: list[tuple[bytes, bytes, bytes, bytes]], batch: int = 500_000):
     """Yields (a, b, times) of set signatures a < b that meet in the regions of one partition; each pair once a yield."""
     sig_parts, size_parts, key, own, place, base = [], [], [], [], [], 0
     for sets, k, o, p in blobs:
@@ -316,6 +318,11 @@ def components(edge: DataFrame, name: str) -> DataFrame:
     writes the edges anew; edges never grow in number, and the rounds end when no edge changes. A node of any degree is handled
     by aggregation and join alone."""
     edge = cut(edge.distinct(), name)
+    some = edge.limit(COLLECT + 1).toPandas()  # at most COLLECT rows stay here; more go the distributed way
+    if len(some) <= COLLECT:
+        node, root = forest(some.a.to_numpy(np.int64), some.b.to_numpy(np.int64))
+        roots = np.unique(root)
+        return edge.sparkSession.createDataFrame(pd.DataFrame({"node": np.concatenate([node, roots]), "root": np.concatenate([root, roots])}, dtype="int64"), "node long, root long")
     while True:
         both = edge.union(edge.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -438,6 +445,8 @@ def class_links(docs: DataFrame, classes: DataFrame, regions: DataFrame) -> tupl
     load = member.groupBy("root").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles"))
     load = load.withColumn("blocks", F.ceil(F.greatest(F.col("sets") / REGION, F.col("shingles") / REGION_SHINGLES)).cast("int"))
     # one document of each class is asked for its text; a bitmap of fixed size keeps most others from moving
+    # small regions share a task's group; a region of more blocks has a group for each pair of them
+    groups = 8 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     member = cut(member.join(load.select("root", "blocks"), "root"), "op3-members")
 
     def bits(pdf_iter):
@@ -459,7 +468,7 @@ def class_links(docs: DataFrame, classes: DataFrame, regions: DataFrame) -> tupl
     def sets_of(batches):
         m = np.frombuffer(bitmap.value, np.uint8)
         seen: set[int] = set()
-        for b in batches:
+        for b in small(batches):
             out: list[tuple[int, bytes]] = []
             for _, s in document_sets(b.column("text").to_pylist()):
                 if len(s):
@@ -477,11 +486,9 @@ def class_links(docs: DataFrame, classes: DataFrame, regions: DataFrame) -> tupl
     whole = sets.join(member, "sig")
     block = F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")
     paired = whole.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    paired = paired.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).select("root", "i", "j", "own", "sig", "docs", "shingles")
-    # small regions share a task's group: group by a hash of the region where it is one block
-    groups = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    key = F.when(F.col("blocks") > 1, F.concat_ws("/", "root", "i", "j")).otherwise(F.concat(F.lit("g"), F.pmod(F.xxhash64("root"), F.lit(groups * 8))))
-    paired = paired.join(load.select("root", "blocks"), "root").withColumn("grp", key).drop("blocks")
+    paired = paired.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    key = F.when(F.col("blocks") > 1, F.concat_ws("/", "root", "i", "j")).otherwise(F.concat(F.lit("g"), F.pmod(F.xxhash64("root"), F.lit(groups))))
+    paired = paired.select(key.alias("grp"), "root", "i", "j", "own", "sig", "docs", "shingles")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         sigs, similar, a, b = [], [], [], []

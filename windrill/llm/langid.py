@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import read_table
+from .shared import read_table, small
 
 DIM = 1024
 #: Texts are counted in slices of about this many code points.
@@ -100,7 +100,7 @@ def slices(texts: list[str], size: int = SLICE):
 def bundle_by_language(batches):
     """Partial prototypes of a task: (lang, sums as little-endian float64)."""
     total: dict[str, np.ndarray] = {}
-    for b in batches:
+    for b in small(batches):
         texts = [t or "" for t in b.column("text").to_pylist()]
         langs = b.column("lang").to_pylist()
         for a, z in slices(texts):
@@ -157,7 +157,7 @@ def identify(docs: DataFrame, langs: list[str], prototypes: np.ndarray) -> DataF
     """doc_id, text -> doc_id, lang_pred, score."""
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             names, score = predict_texts([t or "" for t in b.column("text").to_pylist()], langs, prototypes)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(names, pa.string()), pa.array(np.round(score, 6))], ["doc_id", "lang_pred", "score"])
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import read_table
+from .shared import read_table, small
 from .spans import LIMIT, SpanTable, code_points, hash_spans, ragged
 from .textnum import _powers, mix
 
@@ -261,7 +261,7 @@ def encode_table(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         p = pieces(path)
-        for b in batches:
+        for b in small(batches, 3000):
             sizes, blobs = [], []
             for ids, n in p.encode([t or "" for t in b.column("text").to_pylist()]):
                 wide = ids.astype("<u4")
@@ -278,7 +278,7 @@ def decode_table(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         p = pieces(path)
-        for b in batches:
+        for b in small(batches, 3000):
             ids = [np.frombuffer(x, "<u4") for x in b.column("ids").to_pylist()]
             texts = p.decode(np.concatenate(ids), np.array([len(x) for x in ids])) if ids else []
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
@@ -291,7 +291,7 @@ def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         p = pieces(path)
-        for b in batches:
+        for b in small(batches, 3000):
             texts = [t or "" for t in b.column("text").to_pylist()]
             sizes, crcs, chars, same = [], [], [], []
             at = 0

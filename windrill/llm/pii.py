@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import read_table
+from .shared import read_table, small
 
 KINDS = ("email", "ip", "card", "phone", "account")
 TRAINING, PRECISION = 6000, 0.995
@@ -316,7 +316,7 @@ OUT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha
 
 def find(docs: DataFrame) -> DataFrame:
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             cols: list[list] = [[] for _ in range(6)]
             for base, every in all_spans([t or "" for t in b.column("text").to_pylist()]):
                 kinds = [k for k, _, _ in base]
@@ -335,7 +335,7 @@ def redact_table(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         k = names.index("text")
-        for b in batches:
+        for b in small(batches):
             texts = b.column(k).to_pylist()
             new = [None if t is None else redact(t, every) for t, (_, every) in zip(texts, all_spans([t or "" for t in texts]))]
             yield b.set_column(k, "text", pa.array(new, b.schema.field(k).type))

@@ -63,6 +63,13 @@ def drop_folder(uri: str) -> None:
     fs.delete_dir(path)
 
 
+def small(batches, rows: int = 1000):
+    """Slices of Arrow batches of at most so many rows, so that what Python holds of them stays small."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named columns of one Parquet table."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)

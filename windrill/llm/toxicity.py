@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import read_table
+from .shared import read_table, small
 
 SAMPLE = 20_000
 MIN_DF, MIN_SHARE, MIN_WEIGHT, MIN_EXCEPTION, MAX_ENTRIES = 8, 0.008, 3.0, 3, 4000
@@ -91,7 +91,7 @@ def distinct_texts(rows: DataFrame) -> DataFrame:
 def _features(batches):
     """Document frequencies of a task: (kind, term, toxic, clean); kind w: word, p: beginning, b: pair of words, n: texts."""
     count: Counter = Counter()
-    for b in batches:
+    for b in small(batches):
         for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
             words = _WORD.findall(fold(text or ""))
             y = int(toxic > 0)
@@ -216,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, training, size: int = SAMPLE) -> Lex
         first = Lexicon(entries)
 
         def seen(batches):
-            for b in batches:
+            for b in small(batches):
                 phrases: Counter = Counter()
                 for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
                     f = fold(text or "")
@@ -233,7 +233,7 @@ def fit(docs: DataFrame, labels: DataFrame, training, size: int = SAMPLE) -> Lex
         lexicon = Lexicon(entries, spared)
 
         def features(batches):
-            for b in batches:
+            for b in small(batches):
                 x = [lexicon.raw(t or "") for t in b.column("text").to_pylist()]
                 yield pa.RecordBatch.from_pydict({"a": pa.array([v[0] for v in x], pa.float64()), "b": pa.array([v[1] for v in x], pa.float64()), "y": b.column("toxic").cast(pa.int32())})
 
@@ -248,7 +248,7 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """doc_id, text -> doc_id, score."""
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             s = lexicon.scores([t or "" for t in b.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.round(s, 6), pa.float64())], ["doc_id", "score"])
 
@@ -260,7 +260,7 @@ def drop_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5) -> Dat
     at = docs.columns.index("text")
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             keep = lexicon.scores([t or "" for t in b.column(at).to_pylist()]) < threshold
             yield b.filter(pa.array(keep, pa.bool_()))
 
