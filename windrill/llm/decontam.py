@@ -228,9 +228,11 @@ class Items:
 
 def _contexts(docs: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
     """Latent vectors of sampled blocks of BLOCK words: those of the documents with the smallest hash of their id."""
-    some = docs.where(F.length("text") > 200).orderBy(F.xxhash64("doc_id"), "doc_id").select(F.substring("text", 1, 4000).alias("text")).limit(CONTEXTS)
+    # ids first: every task sends its CONTEXTS smallest, so no texts
+    ids = [r.doc_id for r in docs.where("doc_id is not null and length(text) > 200").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CONTEXTS).collect()]
+    some = docs.where(F.col("doc_id").isin(ids)).select(F.substring("text", 1, 4000).alias("text")).limit(CONTEXTS).collect() if ids else []
     out = []
-    for _, h, at in sequences([r.text for r in some.collect()]):  # at most CONTEXTS rows of 4,000 characters, for the thresholds alone
+    for _, h, at in sequences([r.text for r in some]):  # at most CONTEXTS rows of 4,000 characters, for the thresholds alone
         if len(h):
             start, _ = _starts(at, BLOCK)
             word = bucket(h)
