@@ -9,7 +9,7 @@ import numpy as np
 
 from .textnum import _powers, mix
 
-LIMIT = 1_500_000
+LIMIT = 600_000
 
 
 def code_points(text: str) -> np.ndarray:

@@ -99,7 +99,7 @@ def _features(batches):
             count.update(("w", w, y) for w in own)
             count.update(("p", p, y) for p in {w[:n] for w in own for n in PREFIXES if len(w) > n})
             count[("n", "", y)] += 1
-        if len(count) > 400_000:
+        if len(count) > 100_000:
             yield _rows(count)
             count = Counter()
     yield _rows(count)
