@@ -137,6 +137,35 @@ def test_leaks_are_found_and_clean_documents_left(spark):
     assert decontam.find_items(df.limit(0), bench).count() == 0 and decontam.find_items(df, bench.limit(0)).count() == 0
 
 
+def test_paraphrases_are_found_up_to_the_share(spark):
+    """Rare words replaced, answer words kept: whatever keeps SHARE of the item in order is found."""
+    r = random.Random(4)
+    vocabulary = ["".join(r.choice("abcdefghij") for _ in range(r.randint(3, 7))) for _ in range(4000)]
+    weights = [1 / (k + 1) for k in range(len(vocabulary))]
+    words = lambda n: r.choices(vocabulary, weights, k=n)
+    plain = [(k, words(r.choice([100, 300]))) for k in range(300)]
+    items = [words(r.choice([20, 35, 60])) for _ in range(30)]
+    freq, n = decontam.document_frequencies(spark.createDataFrame([(k, " ".join(t)) for k, t in plain], "doc_id long, text string"))
+    idf = np.log((n + 1) / (freq + 1)) + 1e-3
+    docs, want = list(plain), set()
+    for i, item in enumerate(items):
+        (_, h, _), = decontam.sequences([" ".join(item)])
+        rank = np.argsort(-idf[decontam.bucket(h)], kind="stable")
+        answers = list(dict.fromkeys(h[rank].tolist()))[: 2 * decontam.ANSWERS]
+        free = [j for j in rank.tolist() if h[j] not in answers]
+        for share in (0.2, 0.3, 0.4):
+            leak = list(item)
+            for j in free[: int(share * len(item) + 1e-9)]:
+                leak[j] = r.choice(vocabulary)
+            text = words(200)
+            at = r.randrange(len(text))
+            docs.append((len(docs), text[:at] + leak + text[at:]))
+            want.add((len(docs) - 1, i))
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in docs], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    assert {(x.doc_id, x.item_id) for x in decontam.find_items(df, bench).collect()} == want
+
+
 def test_longest_common_subsequence_by_brute_force():
     r = random.Random(2)
     for _ in range(300):

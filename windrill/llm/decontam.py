@@ -6,10 +6,10 @@
 3. Search: documents are cut in blocks of BLOCK words. For an item of n words, every run of blocks long enough to hold it at any
    offset is a passage; passages whose latent cosine with the item reaches the item's threshold are candidates. The threshold
    comes from the item itself, mixed with sampled contexts of passage length (CONTEXTS of them, from a bounded sample).
-4. Candidates that hold at least COVER of the item's content words (by idf) are checked word by word: the longest common
-   subsequence, bit-parallel, must reach SHARE of the item, within a stretch of STRETCH times its length, and at least half of
-   the item's answer words (its ANSWERS rarest) must be in it. Order, inflection of punctuation and case, and inserted or
-   replaced words are thus tolerated up to 1 - SHARE.
+4. Candidates are checked word by word: the longest common subsequence, bit-parallel, must reach SHARE of the item, within a
+   stretch of STRETCH times its length, and at least half of the item's answer words (its ANSWERS rarest) must be in it. Order,
+   inflection of punctuation and case, and inserted or replaced words are thus tolerated up to 1 - SHARE. Only passages that
+   can't pass are left out before: those without half of the answer words, or without SHARE of the item's words as a multiset.
 
 The items are the stated query set and reach the tasks in blocks of ITEM_BLOCK; each block of items is one pass over all
 documents. Whole texts are searched. Result: one row for each document and item found.
@@ -31,7 +31,7 @@ from .textnum import word_hashes
 
 VOCABULARY, RANK, PASSAGE, BLOCK = 1 << 15, 24, 64, 16
 CONTEXTS, SLICES, ITEM_BLOCK = 400, 16, 4096
-COVER, SHARE, STRETCH, ANSWERS = 0.6, 0.6, 1.6, 3
+SHARE, STRETCH, ANSWERS = 0.6, 1.6, 3
 #: below the least cosine that an item keeps among sampled contexts; contexts of another language lie further off
 MARGIN = 0.35
 #: bytes of text a task handles at once
@@ -168,62 +168,66 @@ class Items:
                 mixed = raw[k] + contexts * room[k]
                 cos = mixed @ self.vector[k] / np.maximum(np.linalg.norm(mixed, axis=1), 1e-9)
                 self.threshold[k] = cos.min() - MARGIN
-        # content words: rarer than the median word of the item (all, if they don't differ)
-        self.content, mass = {}, np.zeros(len(ids))
-        for k, (w, g) in enumerate(zip(words, weight)):
-            kinds, first = np.unique(w, return_index=True)
-            g = g[first]
-            for h, v in zip(kinds[g >= np.median(g)].tolist(), g[g >= np.median(g)]):
-                self.content.setdefault(h, []).append((k, float(v)))
-                mass[k] += v
-        self.keys = np.array(sorted(self.content), np.uint64)
-        self.share = np.zeros((len(self.keys), len(ids)), np.float32)
-        for j, h in enumerate(self.keys.tolist()):
-            for k, v in self.content[h]:
-                self.share[j, k] = v / max(mass[k], 1e-9)
-        self.content = {}
         self.answers = [set(w[np.argsort(-g, kind="stable")].tolist()[: 4 * ANSWERS]) and set(list(dict.fromkeys(w[np.argsort(-g, kind="stable")].tolist()))[:ANSWERS]) for w, g in zip(words, weight)]
         self.lists = [w.tolist() for w in words]
+        # answer words, sorted: of each its place among its item's, and the item
+        said = sorted((h, k, 1 << j) for k, own in enumerate(self.answers) for j, h in enumerate(sorted(own)))
+        self.said_of, self.said_bit = (np.array([x[c] for x in said], np.int64) for c in (1, 2))
+        self.keys, self.first = np.unique(np.array([x[0] for x in said], np.uint64), return_index=True)
+        self.many = np.diff(np.append(self.first, len(said)))
+        self.enough = np.array([-(-len(own) // 2) for own in self.answers])
+        self.kinds = [np.unique(w, return_counts=True) for w in words]
+
+    def _answered(self, h: np.ndarray, start: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, block) of the passages that hold at least half of the item's answer words; begin: the first block of each block's text."""
+        where = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        hits = np.flatnonzero(self.keys[where] == h)
+        many = self.many[where[hits]]
+        place = np.repeat(self.first[where[hits]] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        item, bit = self.said_of[place], self.said_bit[place]
+        block = np.repeat(np.searchsorted(start, hits, side="right") - 1, many)
+        # every passage that the word's block lies in
+        wide = self.blocks[item]
+        back = np.arange(wide.sum()) - np.repeat(np.cumsum(wide) - wide, wide)
+        item, bit, block = np.repeat(item, wide), np.repeat(bit, wide), np.repeat(block, wide)
+        inside = block - back >= begin[block]
+        key = (item * len(start) + block - back)[inside]
+        if not len(key):
+            return key, key
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        held = np.bitwise_count(np.bitwise_or.reduceat(bit[inside][order], edge))
+        item, block = np.divmod(key[edge], len(start))
+        some = held >= self.enough[item]
+        return item[some], block[some]
 
     def search(self, h: np.ndarray, at: np.ndarray, weighted: np.ndarray):
         """Yields (text, item, common words, cosine, start, end) of what a run of texts holds; weighted: basis rows times idf."""
         if not len(h):
             return
         start, own = _starts(at, BLOCK)
-        word = bucket(h)
-        block = np.add.reduceat(weighted[word], start)
-        where = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        hits = np.flatnonzero(self.keys[where] == h)
-        held = np.zeros((len(start), len(self.ids)), np.float32)
-        if len(hits):
-            of = np.searchsorted(start, hits, side="right") - 1
-            edge = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-            held[of[edge]] = np.add.reduceat(self.share[where[hits]], edge)
-        n = len(start)
         upto = np.concatenate([[0], np.cumsum(np.bincount(own, minlength=len(at) - 1))])  # blocks of each text
-        for m in np.unique(self.blocks):
-            of_size = np.flatnonzero(self.blocks == m)
-            part = np.ascontiguousarray(held[:, of_size])
-            cover, vector = part.copy(), block.copy()
-            for k in range(1, min(m, n)):
-                same = (own[k:] == own[: n - k])[:, None]
-                np.add(cover[: n - k], part[k:], out=cover[: n - k], where=same)
-                np.add(vector[: n - k], block[k:], out=vector[: n - k], where=same)
-            vector /= np.maximum(np.linalg.norm(vector, axis=1, keepdims=True), 1e-9)
-            cos = vector @ self.vector[of_size].T
-            # a passage must be near the item in the latent space and hold its content
-            b, j = np.nonzero((cover >= COVER - 1e-4) & (cos >= self.threshold[of_size]))
-            for bb, k, c in zip(b.tolist(), of_size[j].tolist(), cos[b, j].tolist()):
-                text = own[bb]
-                last = min(bb + m, upto[text + 1])
-                end = int(start[last]) if last < upto[text + 1] else int(at[text + 1])
-                words = h[start[bb] : end].tolist()
-                item = self.lists[k]
-                common, a, z = lcs_within(item, words, int(STRETCH * len(item)) + 2)
-                if common >= SHARE * len(item):
-                    there = set(words[a:z])
-                    if 2 * sum(w in there for w in self.answers[k]) >= len(self.answers[k]):
-                        yield int(text), k, common, c, int(start[bb] - at[text]) + a, int(start[bb] - at[text]) + z
+        for k, bb in zip(*(x.tolist() for x in self._answered(h, start, upto[own]))):
+            text = own[bb]
+            last = min(bb + self.blocks[k], upto[text + 1])
+            end = int(start[last]) if last < upto[text + 1] else int(at[text + 1])
+            passage = h[start[bb] : end]
+            item = self.lists[k]
+            kinds, times = self.kinds[k]
+            place = np.minimum(np.searchsorted(kinds, passage), len(kinds) - 1)
+            both = np.minimum(np.bincount(place[kinds[place] == passage], minlength=len(kinds)), times).sum()
+            if both < SHARE * len(item):
+                continue
+            vector = weighted[bucket(passage)].sum(0)
+            c = float(vector @ self.vector[k] / max(np.linalg.norm(vector), 1e-9))
+            if c < self.threshold[k]:
+                continue
+            common, a, z = lcs_within(item, passage.tolist(), int(STRETCH * len(item)) + 2)
+            if common >= SHARE * len(item):
+                there = set(passage[a:z].tolist())
+                if 2 * sum(w in there for w in self.answers[k]) >= len(self.answers[k]):
+                    yield int(text), k, common, c, int(start[bb] - at[text]) + a, int(start[bb] - at[text]) + z
 
 
 def _contexts(docs: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
