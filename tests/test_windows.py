@@ -172,6 +172,13 @@ def test_sketches_are_close(spark):
     assert r.d == 20_000 and abs(r.u - r.d) < 0.05 * r.d and len(r.c) > 0
 
 
+def test_uniq_is_within_one_percent(spark):
+    df = spark.range(1_200_000).selectExpr("id % 6 as g", "id as x", "cast(1 as long) as k")
+    for function in ("uniq", "hll"):
+        rows = Query.parse(f"from t group by g window slice 10 rows based on k aggregate {function}(x) as u append u to v").run(df).collect()
+        assert len(rows) == 6 and all(abs(r.u - 200_000) <= 0.01 * 200_000 for r in rows)
+
+
 def test_no_shuffle_of_rows_for_aggregates(spark):
     plan = Query.parse("from t group by g window slice 10 seconds based on t aggregate sum(v) as s append s to u").run(rows_of(spark, [1, 2]))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "partial_sum" in plan and "Python" not in plan

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..errors import AnalysisError
 
 #: registers of a distinct-count sketch are 2^LG_K: relative error 1.04 / sqrt(2^LG_K)
-LG_K = 12
+LG_K = 17
 CMS = (0.001, 0.99, 42)
 
 USER: dict[str, Callable[[Column], Column]] = {}
