@@ -141,6 +141,14 @@ def test_added_spans_and_odd_rows(spark, odd):
     assert pii.redact_table(odd).columns == odd.columns
 
 
+@pytest.mark.parametrize("address", ["JOE.DOE (AT) EXAMPLE (DOT) COM", "Joe.Doe[AT]example[DOT]com", "joe.doe At example Dot com", "joe.doe (at) example (dot) com"])
+def test_spelled_out_addresses_of_any_case(address):
+    text = f"WRITE TO {address}"
+    ((base, every),) = pii.all_spans([text])
+    assert base == [] and pii.candidates(text)
+    assert pii.redact(text, every) == "WRITE TO [EMAIL]"
+
+
 def test_luhn_and_isotonic():
     assert pii.luhn("4539578763621486") and not pii.luhn("4539578763621487")
     s, p = pii.isotonic(np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1]))

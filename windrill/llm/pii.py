@@ -94,7 +94,8 @@ _GENERATORS = (
     ("account", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
     ("account", re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")),
 )
-_PREFILTER = re.compile(r"[0-9@]|[(\[ ]at[)\] ]")
+_PREFILTER = re.compile(r"[0-9@]|[(\[ ]at[)\] ]", re.I)
+_AT = re.compile(r"@| at |at\)|at\]", re.I)
 _CUES = {
     "email": re.compile(r"mail|contact|write|reach", re.I),
     "ip": re.compile(r"\bip\b|host|server|address|login", re.I),
@@ -128,8 +129,8 @@ def describe(text: str, kind: str, s: int, e: int) -> list[float]:
 def candidates(text: str) -> list[tuple[str, int, int]]:
     if not _PREFILTER.search(text):
         return []
-    has_digit = bool(re.search(r"[0-9]", text))
-    return sorted({(kind, m.start(), m.end()) for kind, g in _GENERATORS if kind == "email" and ("@" in text or " at " in text or "at)" in text or "at]" in text) or kind != "email" and has_digit for m in g.finditer(text)}, key=lambda c: (c[1], c[2], c[0]))
+    has_digit, has_at = bool(re.search(r"[0-9]", text)), bool(_AT.search(text))
+    return sorted({(kind, m.start(), m.end()) for kind, g in _GENERATORS if kind == "email" and has_at or kind != "email" and has_digit for m in g.finditer(text)}, key=lambda c: (c[1], c[2], c[0]))
 
 
 # ---- boosted trees ----------------------------------------------------------------------------------------------------
