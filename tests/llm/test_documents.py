@@ -277,6 +277,15 @@ def test_warc_round_trip(spark):
     assert warc.read_records(warc.write_archives(df.limit(0), work_folder(spark, "w")), 1).count() == 0
 
 
+def test_payloads_of_one_page_id_are_told_apart(spark):
+    rows = [(1, "u", "a" * 1000), (1, "u", "b" * 1000), (1, "u", "c" * 1500), (9, "v", "a" * 1000), (8, "w", "b" * 1000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    captures = warc.assemble(warc.read_records(warc.write_archives(df, work_folder(spark, "w")), 1)).collect()
+    got = sorted((c.response.page_id, c.response.payload_digest, c.response.kind, c.response.refers_to) for c in captures)
+    digest = lambda c, n: hashlib.sha1(c * n).hexdigest()
+    assert got == sorted([(1, digest(b"a", 1000), "revisit", 9), (1, digest(b"b", 1000), "revisit", 8), (1, digest(b"c", 1500), "response", None), (9, digest(b"a", 1000), "response", None), (8, digest(b"b", 1000), "response", None)], key=lambda r: r[:2])
+
+
 def test_damaged_archives_are_refused():
     raw = warc.capture(1, "u", b"x" * 100, None)
     assert [h["warc-type"] for h, _ in warc.parse(raw)] == ["response", "request", "metadata"] or len(list(warc.parse(raw))) == 3

@@ -7,10 +7,10 @@ per capture. Each record is a gzip member of its own.
 Of captures whose payloads are equal and at least MIN_PAYLOAD bytes long, those with the largest page_id are written in full;
 the others are revisits, which carry the HTTP header (with Content-Length), the payload's digest and the page they refer to, but
 no payload. Duplicates are found from (page_id, digest) alone, with a map-side combined maximum; pages join the few revisits by
-page_id, so a payload that a third of all pages share makes no hot key for the page bodies.
+both, so a payload that a third of all pages share makes no hot key for the page bodies.
 
 Cases: null html is an empty payload; null urls are written as about:blank and read back as null; a null page_id is always a response;
-repeated rows are captures of their own, and rows that share the largest page_id are all responses. An empty table gives no
+repeated rows are captures of their own, rows of one page_id with different payloads are told apart by digest, and rows that share the largest page_id are all responses. An empty table gives no
 file. Further columns are ignored.
 """
 
@@ -92,12 +92,12 @@ def parse(raw: bytes):
 
 
 def find_revisits(pages: DataFrame) -> DataFrame:
-    """page_id, refers_to of the pages whose payload another page with a larger page_id holds."""
+    """page_id, digest, refers_to of the payloads that another page with a larger page_id holds too."""
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     small = pages.where(F.col("page_id").isNotNull() & (F.octet_length(body) >= MIN_PAYLOAD)).select("page_id", F.sha1(body).alias("digest"))
     small = cut(small, "op8-digests")
     keep = small.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least")).where("least < refers_to")
-    return small.join(keep.select("digest", "refers_to"), "digest").where("page_id < refers_to").select("page_id", "refers_to").distinct()
+    return small.join(keep.select("digest", "refers_to"), "digest").where("page_id < refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
@@ -105,8 +105,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     revisits = cut(find_revisits(pages), "op8-revisits")
 
-    long_ok = F.octet_length(F.coalesce(F.col("html"), F.lit(""))) >= MIN_PAYLOAD
-    joined = pages.join(revisits, "page_id", "left").withColumn("refers_to", F.when(long_ok, F.col("refers_to")))
+    joined = pages.withColumn("digest", F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary"))).join(revisits, ["page_id", "digest"], "left")
 
     def run(batches):
         out, have, captures = [], 0, 0
