@@ -205,6 +205,24 @@ def test_main_text():
     assert html_main.extract("<main><p>in</p></main><p>out</p>") == "in"
 
 
+@pytest.mark.parametrize("page, text", [
+    ('<body><p class="notice">Old site<p>article one<p>two</body>', "article one\ntwo"),
+    ('<ul><li class="share">Send it<li>first<li>second</ul><p>end', "first\nsecond\nend"),
+    ('<table><tr><td class="ad">Buy<td>cell<tr><td>next</table>tail', "cell\nnext\ntail"),
+    ('<table><tr class="ad"><td>Buy<tr><td>next</table>tail', "next\ntail"),
+    ('<table><tbody class="ad"><tr><td>Buy<tbody><tr><td>next</table>tail', "next\ntail"),
+    ('<dl><dt class="ad">Buy<dd>meaning</dl>', "meaning"),
+    ('<body><section><p>a</p><div class="ad">Buy</section><p>after</p></body>', "a\nafter"),
+    ('<div><p>a<span class="ad">Buy<p>b</div>c', "a\nb\nc"),
+    ('<p>a<button><p>Go</p></button>b', "a b"),
+    ('<ul><li>a<nav><li>Home</nav> b<li>c</ul>', "a\nb\nc"),
+    ('<div class="ad"><div>x</div><div/><script>"</div>"</script>y</div><p>z', "z"),
+    ('<div class="ad"><p>x<p>y</div>z', "z"),
+])
+def test_dropped_elements_end_as_others_do(page, text):
+    assert html_main.extract(page) == text
+
+
 def test_templates_go_and_articles_stay(spark):
     pages = []
     for k in range(40):

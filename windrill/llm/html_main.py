@@ -1,7 +1,8 @@
 """Main text of web pages by site template removal (operator 1).
 
 A tolerant parser walks each page once. Every block element gets a hash of its subtree (tag, class and the hashes and text
-below it). Spark counts, for each host, in how many distinct pages a subtree occurs; pages that differ only outside their main
+below it). Unwanted elements lie on the parser's stack as all others do, so that implied ends and the parent's end tag close
+them too. Spark counts, for each host, in how many distinct pages a subtree occurs; pages that differ only outside their main
 part count as one, so copies of an article don't turn it into a template. Subtrees in at least MIN_PAGES pages and SHARE of
 their host's pages are templates, and the second walk deletes them. Elements whose tag, role, class or id says that they are
 menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts or styles go in any case. Where a page has
@@ -41,8 +42,11 @@ RAW = frozenset("script style textarea title noscript template iframe xmp noembe
 DROP = frozenset("nav header footer aside form button select option input label dialog menu head svg canvas audio video object".split()) | RAW
 BLOCK = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 CLOSES_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "html", "body", "li", "dd", "dt"}
-SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-BOUND = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
+SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}} | {t: {"tbody", "thead", "tfoot", "tr", "td", "th"} for t in ("tbody", "thead", "tfoot")}
+BOUND = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}} | {t: {"table"} for t in ("tbody", "thead", "tfoot")}
+#: dropped elements whose end tag isn't optional; what is inside implies no end outside
+HOLDS = DROP - {"option", "input"}
+P_BOUND = {"table", "article", "main", "body", "div", "section", "td"}
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
 BAD_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars widget widgets footer header masthead "
@@ -73,13 +77,14 @@ class Walk:
         self.blocks: list[tuple[int, str]] = []  # (0 body, 1 main, 2 article; text)
         self.hashes: list[int] = []
         self.templates = templates
-        self.stack: list[list] = []  # tag, attributes, what the hash takes in, first block, place before
+        self.stack: list[list] = []  # tag, attributes, what the hash takes in, first block, place before, whether dropped
+        self.dropped = 0  # open elements that are dropped
         self.text: list[str] = []
         self.place = 0
         self._run(page)
 
     def _flush(self) -> None:
-        if self.text:
+        if self.text and not self.dropped:
             t = _SPACE.sub(" ", html.unescape("".join(self.text))).strip()
             self.text = []
             if t:
@@ -87,17 +92,19 @@ class Walk:
                 if self.stack:
                     self.stack[-1][2].append(t)
 
-    def _open(self, tag: str, attrs: str) -> None:
+    def _open(self, tag: str, attrs: str, drop: bool = False) -> None:
         if tag in BLOCK:
             self._flush()
-        self.stack.append([tag, attrs, [], len(self.blocks), self.place])
+        self.stack.append([tag, attrs, [], len(self.blocks), self.place, drop])
+        self.dropped += drop
         if tag == "article":
             self.place = 2
         elif tag == "main" and self.place < 1:
             self.place = 1
 
     def _close_top(self) -> None:
-        tag, attrs, parts, first, place = self.stack[-1]
+        tag, attrs, parts, first, place, drop = self.stack[-1]
+        self.dropped -= drop
         if tag in BLOCK:
             self._flush()
             self.stack.pop()
@@ -116,28 +123,21 @@ class Walk:
 
     def _run(self, page: str) -> None:
         at, n = 0, len(page)
-        skip, depth = "", 0
         while at < n:
             m = _TOKEN.search(page, at)
             if m is None:
-                if not skip:
+                if not self.dropped:
                     self.text.append(page[at:])
                 break
-            if not skip and m.start() > at:
+            if not self.dropped and m.start() > at:
                 self.text.append(page[at : m.start()])
             at = m.end()
             tag = (m[2] or "").lower()
             if not tag:
                 continue
-            if skip:
-                if tag == skip:
-                    depth += -1 if m[1] else 0 if m[3].rstrip().endswith("/") else 1
-                    if not depth:
-                        skip = ""
-                continue
             if m[1]:
                 if tag == "br":
-                    self.text.append(" ")
+                    self._space()
                 elif tag == "p" and not any(e[0] == "p" for e in self.stack):
                     self._flush()
                 else:
@@ -150,42 +150,54 @@ class Walk:
                             break
                 continue
             if tag in CLOSES_P:
-                self._imply({"p"}, {"table", "article", "main", "body", "div", "section", "td"})
+                self._imply({"p"}, P_BOUND)
             if tag in SAME:
                 self._imply(SAME[tag], BOUND[tag])
             if tag in VOID:
                 if tag in BLOCK:
                     self._flush()
                 else:
-                    self.text.append(" ")
+                    self._space()
+                continue
+            if tag in RAW:
+                self._space()
+                if not m[3].rstrip().endswith("/"):
+                    end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+                    at = end.end() if end else n
+                continue
+            if self.dropped:
+                if not m[3].rstrip().endswith("/"):
+                    self._open(tag, "", tag in DROP)
                 continue
             if _unwanted(tag, m[3]):
                 if tag in BLOCK:
                     self._flush()
                 else:
-                    self.text.append(" ")
+                    self._space()
                 if not m[3].rstrip().endswith("/"):
-                    if tag in RAW:
-                        end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                        at = end.end() if end else n
-                    else:
-                        skip, depth = tag, 1
+                    self._open(tag, "", True)
                 continue
             self._open(tag, " ".join(sorted("".join(v).lower() for k, *v in _ATTR.findall(m[3]) if k.lower() == "class")) if m[3] else "")
         while self.stack:
             self._close_top()
         self._flush()
 
+    def _space(self) -> None:
+        if not self.dropped:
+            self.text.append(" ")
+
     def _imply(self, tags: set, bounds: set) -> None:
-        """Closes the nearest open element of tags, unless one of bounds stands between."""
+        """Closes the open elements of tags up to the first of bounds or that holds whole blocks of its own."""
+        last = None
         for k in range(len(self.stack) - 1, -1, -1):
             t = self.stack[k][0]
             if t in tags:
-                while len(self.stack) > k:
-                    self._close_top()
-                return
-            if t in bounds:
-                return
+                last = k
+            elif t in bounds or t in HOLDS:
+                break
+        if last is not None:
+            while len(self.stack) > last:
+                self._close_top()
 
     def main_text(self) -> str:
         best = max((p for p, _ in self.blocks), default=0)
