@@ -237,6 +237,19 @@ def test_templates_go_and_articles_stay(spark):
     assert html_main.main_texts(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("others", [20, 400])
+def test_templates_of_one_section_go_at_every_size(spark, others):
+    """A neutral menu and notice on 10 pages of a host; sentences that articles share stay."""
+    said = "A sentence that some articles share."
+    page = lambda k, top="": f'<body>{top}<div class="text"><p>Text {k} here</p>{f"<p>{said}</p>" if k % 10 == 0 else ""}<p>More {k}</p></div></body>'
+    top = '<div class="k1"><ul><li>One<li>Two</ul></div><p class="k2">Closed on Monday</p>'
+    rows = [(k, f"http://h.example/s/{k}", page(k, top)) for k in range(1, 11)] + [(k, f"http://h.example/{k}", page(k)) for k in range(11, 11 + others)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for limit in (1000, 0):
+        got = {r.page_id: r.text for r in html_main.main_texts(df, broadcast_rows=limit).collect()}
+        assert all(got[k] == "\n".join([f"Text {k} here", *[said] * (k % 10 == 0), f"More {k}"]) for k, *_ in rows)
+
+
 def test_ogg_round_trip_and_damage():
     def slow(b):
         c = 0

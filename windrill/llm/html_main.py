@@ -3,13 +3,15 @@
 A tolerant parser walks each page once. Every block element gets a hash of its subtree (tag, class and the hashes and text
 below it). Unwanted elements lie on the parser's stack as all others do, so that implied ends and the parent's end tag close
 them too. Spark counts, for each host, in how many distinct pages a subtree occurs; pages that differ only outside their main
-part count as one, so copies of an article don't turn it into a template. Subtrees in at least MIN_PAGES pages and SHARE of
-their host's pages are templates, and the second walk deletes them. Elements whose tag, role, class or id says that they are
+part count as one, so copies of an article don't turn it into a template. A subtree is judged among the pages of its host that
+hold its layout: the same tags and classes, whatever the text. Subtrees in at least MIN_PAGES pages and SHARE of those are
+templates, and the second walk deletes them; a menu of one section goes alike on a small host and on one with many sections. A
+bare paragraph has the layout of all bare paragraphs, so a sentence that some articles share stays. Elements whose tag, role, class or id says that they are
 menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts or styles go in any case. Where a page has
 article (else main) elements, only their text is taken.
 
-A host has at most 1/SHARE times its mean number of subtrees as templates. Up to BROADCAST_ROWS templates reach the tasks as a
-broadcast table; more are joined by host, where adaptive execution splits a hot host.
+Up to BROADCAST_ROWS templates reach the tasks as a broadcast table; more are joined with the pages' own subtrees, so that a page
+gets the templates it holds and not all of its host.
 
 Cases: null or empty html gives the empty text; cut-off pages are closed at their end, and a tag or reference that is cut off
 stays text only if it decodes; a null url is a host of its own. Repeated rows are extracted each for themselves and count once.
@@ -20,7 +22,6 @@ from __future__ import annotations
 
 import html
 import re
-from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -76,8 +77,9 @@ class Walk:
     def __init__(self, page: str, templates=frozenset()):
         self.blocks: list[tuple[int, str]] = []  # (0 body, 1 main, 2 article; text)
         self.hashes: list[int] = []
+        self.layouts: list[int] = []  # of each hash, its tags and classes alone
         self.templates = templates
-        self.stack: list[list] = []  # tag, attributes, what the hash takes in, first block, place before, whether dropped
+        self.stack: list[list] = []  # tag, attributes, what the hash takes in, first block, place before, whether dropped, layouts below
         self.dropped = 0  # open elements that are dropped
         self.text: list[str] = []
         self.place = 0
@@ -95,7 +97,7 @@ class Walk:
     def _open(self, tag: str, attrs: str, drop: bool = False) -> None:
         if tag in BLOCK:
             self._flush()
-        self.stack.append([tag, attrs, [], len(self.blocks), self.place, drop])
+        self.stack.append([tag, attrs, [], len(self.blocks), self.place, drop, []])
         self.dropped += drop
         if tag == "article":
             self.place = 2
@@ -103,22 +105,26 @@ class Walk:
             self.place = 1
 
     def _close_top(self) -> None:
-        tag, attrs, parts, first, place, drop = self.stack[-1]
+        tag, attrs, parts, first, place, drop, below = self.stack[-1]
         self.dropped -= drop
         if tag in BLOCK:
             self._flush()
             self.stack.pop()
             if parts:
                 h = xxhash.xxh3_64_intdigest(f"{tag}|{attrs}|{'|'.join(map(str, parts))}") >> 1
+                layout = xxhash.xxh3_64_intdigest(f"{tag}|{attrs}|{'|'.join(map(str, below))}") >> 1
                 self.hashes.append(h)
+                self.layouts.append(layout)
                 if h in self.templates:
                     del self.blocks[first:]
                 if self.stack:
                     self.stack[-1][2].append(h)
+                    self.stack[-1][6].append(layout)
         else:
             self.stack.pop()
             if self.stack:
                 self.stack[-1][2] += parts
+                self.stack[-1][6] += below
         self.place = place
 
     def _run(self, page: str) -> None:
@@ -213,26 +219,33 @@ def _host(column="url"):
 
 
 def subtree_rows(batches):
-    """(host, subtree, context) once for each task: context is the hash of the page's main text."""
+    """(host, layout, subtree, context) once for each task: context is the hash of the page's main text; subtree -1 is the layout itself."""
     for b in batches:
         seen = set()
         for host, page in zip(b.column("host").to_pylist(), b.column("html").to_pylist()):
             w = Walk(page or "")
             context = xxhash.xxh3_64_intdigest(w.main_text()) >> 1
-            seen.add((host, -1, context))
-            seen.update((host, h, context) for h in w.hashes)
-        rows = list(zip(*seen)) or [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64())], ["host", "subtree", "context"])
+            seen.update((host, v, -1, context) for v in w.layouts)
+            seen.update((host, v, h, context) for v, h in zip(w.layouts, w.hashes))
+        rows = list(zip(*seen)) or [(), (), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), *(pa.array(x, pa.int64()) for x in rows[1:])], ["host", "layout", "subtree", "context"])
 
 
 def find_templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
     """host, subtree of the subtrees that recur on their host; pages: host, html."""
-    rows = pages.select("host", "html").mapInArrow(subtree_rows, "host string, subtree long, context long")
-    counts = rows.distinct().groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n"))
-    often = counts.where((F.col("n") >= min_pages) | (F.col("subtree") == -1))
-    often = cut(often, "op1-counts")
-    total = often.where("subtree = -1").select("host", F.col("n").alias("pages"))
-    return often.where("subtree <> -1").join(total, "host").where(F.col("n") >= share * F.col("pages")).select("host", "subtree")
+    rows = pages.select("host", "html").mapInArrow(subtree_rows, "host string, layout long, subtree long, context long")
+    counts = rows.distinct().groupBy("host", "layout", "subtree").agg(F.count(F.lit(1)).alias("n"))
+    often = cut(counts.where(F.col("n") >= min_pages), "op1-counts")
+    total = often.where("subtree = -1").select("host", "layout", F.col("n").alias("pages"))
+    return often.where("subtree <> -1").join(total, ["host", "layout"]).where(F.col("n") >= share * F.col("pages")).select("host", "subtree").distinct()
+
+
+def own_subtrees(batches):
+    """(host, page, subtree) of every page."""
+    for b in batches:
+        rows = {(host, page, h) for host, page, text in zip(*(b.column(c).to_pylist() for c in ("host", "page", "html"))) for h in Walk(text or "").hashes}
+        rows = list(zip(*rows)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64())], ["host", "page", "subtree"])
 
 
 def main_texts(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -254,18 +267,16 @@ def main_texts(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHAR
                 yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
         return pages.mapInArrow(run, schema)
-    lists = templates.groupBy("host").agg(F.collect_set("subtree").alias("subtrees"))  # at most mean subtrees / share of a host
+    pages = pages.withColumn("page", F.xxhash64("html"))
+    held = pages.select("host", "page", "html").mapInArrow(own_subtrees, "host string, page long, subtree long").join(templates, ["host", "subtree"])
+    lists = held.groupBy("host", "page").agg(F.collect_set("subtree").alias("subtrees"))  # at most the page's own subtrees
 
     def run_joined(batches):
-        @lru_cache(maxsize=64)
-        def as_set(key):
-            return frozenset(key)
-
         for b in batches:
-            texts = [extract(p, as_set(tuple(s or ()))) for p, s in zip(b.column("html").to_pylist(), b.column("subtrees").to_pylist())]
+            texts = [extract(p, frozenset(s or ())) for p, s in zip(b.column("html").to_pylist(), b.column("subtrees").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    return pages.join(lists, "host", "left").select("page_id", "url", "html", "subtrees").mapInArrow(run_joined, schema)
+    return pages.join(lists, ["host", "page"], "left").select("page_id", "url", "html", "subtrees").mapInArrow(run_joined, schema)
 
 
 def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
