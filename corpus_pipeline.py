@@ -1,11 +1,12 @@
 """A corpus pipeline of five stages; each works on all that the one before kept.
 
 1. Toxicity: documents scored at or above 0.5 go. 2. N-gram Jaccard join: of each group of linked documents the one with the
-smallest doc_id stays. 3. Benchmark decontamination: documents that hold a benchmark item go. 4. PII: personal data in the text is
+smallest doc_id (then row key) stays. 3. Benchmark decontamination: documents that hold a benchmark item go. 4. PII: personal data in the text is
 replaced by its kind. 5. SentencePiece: the texts are encoded and, from the ids, decoded and compared.
 
-Rows without a doc_id stay as they are in the filtering stages: no decision can name them. Of rows that repeat a doc_id in
-stage 2, the first by text stays. An empty table passes through every stage.
+Stages 2 and 3 decide by what a row holds: the row key of stage 2 is a 64-bit hash of doc_id and text, stage 3 goes by a hash of
+the text. Rows without a doc_id are treated as all others and stay last in stage 2; rows that share a doc_id have no effect on
+each other unless their texts are similar. An empty table passes through every stage.
 """
 
 from __future__ import annotations
@@ -26,21 +27,26 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each connected group, the one with the smallest doc_id."""
-    found = jaccard.jaccard_join(docs)
-    gone = cut(found.where("doc_id is not null and component_id <> doc_id").select("doc_id"), "pipeline-similar")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    twice = cut(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "pipeline-twice")
+    """One document of each connected group, the one with the smallest doc_id; rows that are equal in doc_id and text count as one."""
+    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    found = jaccard.jaccard_join(keyed.select(F.col("_row").alias("doc_id"), "text"))
+    linked = found.where("n_similar > 0").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")).distinct()
+    near = cut(keyed.select("_row", "doc_id").join(linked, "_row"), "pipeline-similar")
+    first = near.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("m")).select("m._row")
+    gone = cut(near.select("_row").distinct().join(first, "_row", "left_anti"), "pipeline-gone")
+    kept = keyed.join(gone, "_row", "left_anti")
+    twice = cut(near.groupBy("_row").count().where("count > 1").select("_row").join(first, "_row", "left_semi"), "pipeline-twice")
     if twice.limit(1).count() == 0:
-        return kept
-    again = kept.join(twice, "doc_id", "left_semi").withColumn("_place", F.row_number().over(W.partitionBy("doc_id").orderBy("text")))
-    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(again.where("_place = 1").select(*docs.columns))
+        return kept.select(*docs.columns)
+    again = kept.join(twice, "_row", "left_semi").withColumn("_place", F.row_number().over(W.partitionBy("_row").orderBy("_row")))
+    return kept.join(twice, "_row", "left_anti").select(*docs.columns).unionByName(again.where("_place = 1").select(*docs.columns))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    found = cut(decontam.find_items(docs, benchmark).select("doc_id").distinct(), "pipeline-leaks")
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    text = F.xxhash64("text")
+    found = cut(decontam.find_items(docs.select(text.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_text")).distinct(), "pipeline-leaks")
+    return docs.withColumn("_text", text).join(found, "_text", "left_anti").select(*docs.columns)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,6 +42,19 @@ def test_every_stage(spark, folder):
     assert sorted(map(str, corpus_pipeline.run(spark, folder).collect())) == sorted(map(str, last.collect()))
 
 
+def test_rows_without_or_with_equal_ids(spark, folder):
+    words = lambda c, n=40: " ".join(f"{c}{i}" for i in range(n))
+    leak = "item " + words("b", 20) + " tail"
+    rows = [(1, words("p")), (None, words("p") + " more"), (None, words("q")), (None, words("q")), (2, words("r")), (2, words("s")), (3, words("s") + " end"), (4, words("t")), (4, leak), (None, f"{leak} {words('y', 60)}"), (None, None), (5, ""), (5, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = cut(corpus_pipeline.drop_similar(spark, docs, folder), "test")
+    key = lambda r: (r[0] or -1, r[1] or "")
+    want = [rows[k] for k in (0, 2, 4, 5, 7, 8, 9, 10, 11, 12)]
+    assert kept.columns == COLUMNS and sorted(((r.doc_id, r.text) for r in kept.collect()), key=key) == sorted(want, key=key)
+    clean = corpus_pipeline.drop_leaks(spark, kept, folder)
+    assert clean.columns == COLUMNS and sorted(((r.doc_id, r.text) for r in clean.collect()), key=key) == sorted([x for x in want if "b3 b4" not in (x[1] or "")], key=key)
+
+
 def test_empty_documents(spark, folder, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         t = pq.read_table(f"{folder}/{name}.parquet")
