@@ -166,6 +166,28 @@ def test_paraphrases_are_found_up_to_the_share(spark):
     assert {(x.doc_id, x.item_id) for x in decontam.find_items(df, bench).collect()} == want
 
 
+def test_thresholds_hold_for_every_passage():
+    """No passage that keeps SHARE of an item lies below its threshold, whatever the other words and the space."""
+    r = np.random.default_rng(5)
+    vocabulary = r.integers(0, 1 << 63, 400).astype(np.uint64) * np.uint64(2)
+    occurs = np.unique(decontam.bucket(vocabulary))
+    idf = r.uniform(0.1, 8, decontam.VOCABULARY)
+    for lift in (0, 3):  # words all around, and all on one side
+        basis = (r.standard_normal((decontam.VOCABULARY, decontam.RANK)) + lift).astype(np.float32) / 100
+        words = [r.choice(vocabulary, n) for n in (5, 20, 45)]
+        items = decontam.Items([1, 2, 3], words, idf, basis, occurs)
+        assert lift == 0 or (items.threshold > 0).all()
+        vectors = basis * idf[:, None].astype(np.float32)
+        for k, w in enumerate(words):
+            need = int(np.ceil(decontam.SHARE * len(w)))
+            off = vectors[decontam.bucket(vocabulary)] @ items.vector[k]
+            worst = vocabulary[np.argsort(off)[:3]]
+            for _ in range(50):
+                kept = r.choice(len(w), need, replace=False) if _ else np.argsort(vectors[decontam.bucket(w)] @ items.vector[k])[:need]
+                v = vectors[decontam.bucket(np.r_[w[kept], r.choice(worst, items.blocks[k] * decontam.BLOCK - need)])].sum(0)
+                assert v @ items.vector[k] / np.linalg.norm(v) >= items.threshold[k]
+
+
 def test_longest_common_subsequence_by_brute_force():
     r = random.Random(2)
     for _ in range(300):

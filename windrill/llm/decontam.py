@@ -5,7 +5,8 @@
    A'(A W) for a random W; the sums, VOCABULARY x (RANK + 8) numbers whatever the input, are orthonormalised on the driver.
 3. Search: documents are cut in blocks of BLOCK words. For an item of n words, every run of blocks long enough to hold it at any
    offset is a passage; passages whose latent cosine with the item reaches the item's threshold are candidates. The threshold
-   comes from the item itself, mixed with sampled contexts of passage length (CONTEXTS of them, from a bounded sample).
+   is a lower bound over all passages that keep SHARE of the item: the kept words that lie furthest off, and in all other
+   places the worst word that occurs in any document. It is -1 where that bound says nothing.
 4. Candidates are checked word by word: the longest common subsequence, bit-parallel, must reach SHARE of the item, within a
    stretch of STRETCH times its length, and at least half of the item's answer words (its ANSWERS rarest) must be in it. Order,
    inflection of punctuation and case, and inserted or replaced words are thus tolerated up to 1 - SHARE. Only passages that
@@ -29,11 +30,9 @@ from pyspark.sql import functions as F
 from .shared import read_table, small
 from .textnum import word_hashes
 
-VOCABULARY, RANK, PASSAGE, BLOCK = 1 << 15, 24, 64, 16
-CONTEXTS, SLICES, ITEM_BLOCK = 400, 16, 4096
+VOCABULARY, RANK, PASSAGE, BLOCK = 1 << 15, 48, 64, 16
+SLICES, ITEM_BLOCK = 16, 4096
 SHARE, STRETCH, ANSWERS = 0.6, 1.6, 3
-#: below the least cosine that an item keeps among sampled contexts; contexts of another language lie further off
-MARGIN = 0.35
 #: bytes of text a task handles at once
 PIECE = 1 << 20
 
@@ -154,20 +153,24 @@ def lcs_within(item: list[int], words: list[int], stretch: int) -> tuple[int, in
 class Items:
     """One block of benchmark items, ready for the search; small: RANK numbers and a few words for each."""
 
-    def __init__(self, ids: list[int], words: list[np.ndarray], idf: np.ndarray, basis: np.ndarray, contexts: np.ndarray):
+    def __init__(self, ids: list[int], words: list[np.ndarray], idf: np.ndarray, basis: np.ndarray, occurs: np.ndarray):
         self.ids, self.words = ids, words
         self.blocks = np.array([-(-(len(w) + BLOCK - 1) // BLOCK) for w in words])
         weight = [idf[bucket(w)] for w in words]
         raw = np.stack([(basis[bucket(w)] * g[:, None].astype(np.float32)).sum(0) for w, g in zip(words, weight)])
         self.vector = raw / np.maximum(np.linalg.norm(raw, axis=1, keepdims=True), 1e-9)
-        # the least cosine that the item keeps among sampled contexts, with a margin
-        room = np.maximum(self.blocks * BLOCK - [len(w) for w in words], 0) / BLOCK
+        # the least cosine of a passage that keeps SHARE of the item; occurs: the buckets that any document holds
+        rest = basis[occurs] * idf[occurs, None].astype(np.float32)
+        longest = float(np.linalg.norm(rest, axis=1).max(initial=0))
         self.threshold = np.full(len(ids), -1.0, np.float32)
-        if len(contexts):
-            for k in range(len(ids)):
-                mixed = raw[k] + contexts * room[k]
-                cos = mixed @ self.vector[k] / np.maximum(np.linalg.norm(mixed, axis=1), 1e-9)
-                self.threshold[k] = cos.min() - MARGIN
+        for k, (w, g) in enumerate(zip(words, weight)):
+            kept = basis[bucket(w)] * g[:, None].astype(np.float32)
+            need = -int(-SHARE * len(w) // 1)
+            other = self.blocks[k] * BLOCK - need
+            least = np.sort(kept @ self.vector[k])[:need].sum() + other * min(0.0, float((rest @ self.vector[k]).min(initial=0)))
+            if least > 0:
+                most = np.sort(np.linalg.norm(kept, axis=1))[-need:].sum() + other * longest
+                self.threshold[k] = least / most - 1e-3
         self.answers = [set(w[np.argsort(-g, kind="stable")].tolist()[: 4 * ANSWERS]) and set(list(dict.fromkeys(w[np.argsort(-g, kind="stable")].tolist()))[:ANSWERS]) for w, g in zip(words, weight)]
         self.lists = [w.tolist() for w in words]
         # answer words, sorted: of each its place among its item's, and the item
@@ -230,20 +233,6 @@ class Items:
                     yield int(text), k, common, c, int(start[bb] - at[text]) + a, int(start[bb] - at[text]) + z
 
 
-def _contexts(docs: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """Latent vectors of sampled blocks of BLOCK words: those of the documents with the smallest hash of their id."""
-    # ids first: every task sends its CONTEXTS smallest, so no texts
-    ids = [r.doc_id for r in docs.where("doc_id is not null and length(text) > 200").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CONTEXTS).collect()]
-    some = docs.where(F.col("doc_id").isin(ids)).select(F.substring("text", 1, 4000).alias("text")).limit(CONTEXTS).collect() if ids else []
-    out = []
-    for _, h, at in sequences([r.text for r in some]):  # at most CONTEXTS rows of 4,000 characters, for the thresholds alone
-        if len(h):
-            start, _ = _starts(at, BLOCK)
-            word = bucket(h)
-            out.append(np.add.reduceat(basis[word] * idf[word].astype(np.float32)[:, None], start)[:: max(1, len(start) // CONTEXTS)])
-    return np.concatenate(out) if out else np.zeros((0, RANK), np.float32)
-
-
 SCHEMA = "doc_id long, item_id long, common_words long, item_words long, cosine double, start_word long, end_word long"
 
 
@@ -254,7 +243,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     df, n = document_frequencies(docs)
     idf = np.log((n + 1) / (df + 1)) + 1e-3
     basis = latent_basis(docs, idf)
-    contexts = _contexts(docs, idf, basis)
+    occurs = np.flatnonzero(df)
     model = spark.sparkContext.broadcast((idf, basis))
     found = None
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
@@ -269,7 +258,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     words.append(h[at[k] : at[k + 1]])
         if not ids:
             return None
-        these = spark.sparkContext.broadcast(Items(ids, words, idf, basis, contexts))
+        these = spark.sparkContext.broadcast(Items(ids, words, idf, basis, occurs))
 
         def run(batches):
             own, (w, v) = these.value, model.value
