@@ -28,6 +28,8 @@ repeat a doc_id are documents of their own. Sets are known by 64-bit hashes of t
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -43,12 +45,19 @@ EPS = 0.4
 NEED = 3
 BUCKETS = 1 << 22
 SLICES = 64
-KEYS_PER_PART = 1_000_000
-LEAF, REGION = 256, 3000
+KEYS_PER_PART = 4_000_000
+LEAF, REGION = 8, 3000
 #: so many edges at most come to the driver, 16 bytes each
 COLLECT = 500_000
 #: sets of this many shingles in total make one task's block
 REGION_SHINGLES = 4_000_000
+#: shingles of the small regions that one group takes; members of regions that are sent to every task, 40 bytes each
+GROUP_SHINGLES, BROADCAST_MEMBERS = 500_000, 1_000_000
+
+
+#: words of a set's sketch, and the largest near-copy clusters whose members are known to every task: so many members at most
+WORDS, LABELLED = 3, 1_000_000
+_ORDERS = np.random.Generator(np.random.PCG64(77)).integers(1, 1 << 62, 3 * WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def need(nx, ny):
@@ -65,6 +74,13 @@ def set_hash(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) >> 1 or 1
 
 
+def sketch(s: np.ndarray) -> list[int]:
+    """WORDS hashes of a set, each of three of its minima under random orders: near copies share one, unrelated sets hardly ever."""
+    with np.errstate(over="ignore"):
+        least = [int((s * m).min()) for m in _ORDERS]
+    return [xxhash.xxh3_64_intdigest(np.array(least[k : k + 3], np.uint64).tobytes(), k) >> 1 for k in range(0, 3 * WORDS, 3)]
+
+
 def document_sets(texts: list):
     """Yields (index, sorted shingle hashes) of each text; null counts as empty."""
     raw = [(t or "").encode() for t in texts]
@@ -81,17 +97,39 @@ def _bucket(s: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, text -> row id, doc_id, sig (0: empty), n."""
+    """doc_id, text -> doc_id, sig (0: empty), n, words (the sketch)."""
 
     def run(batches):
         for b in small(batches):
             sig, n = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
+            words: list = [None] * b.num_rows
             for k, s in document_sets(b.column("text").to_pylist()):
                 if len(s):
-                    sig[k], n[k] = set_hash(s), len(s)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sig), pa.array(n)], ["doc_id", "sig", "n"])
+                    sig[k], n[k], words[k] = set_hash(s), len(s), sketch(s)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sig), pa.array(n), pa.array(words, pa.list_(pa.int64()))], ["doc_id", "sig", "n", "words"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, sig long, n long, words array<long>")
+
+
+def near_copies(classes: DataFrame) -> DataFrame:
+    """Edges (a, b), a > b, from each class to the smallest one with which it shares a word of the sketch.
+
+    They only say which classes belong in one region; whether they link is compared there. A word that a third of all classes
+    hold costs one aggregate row a task and as many edges as classes."""
+    rows = classes.select("sig", F.explode("words").alias("word"))
+    least = rows.groupBy("word").agg(F.min("sig").alias("b"), F.max("sig").alias("z")).where("b < z").select("word", "b")
+    return rows.join(least, "word").where("sig > b").select(F.col("sig").alias("a"), "b").distinct()
+
+
+def labels(clusters: DataFrame, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(signatures, sorted; the cluster of each) of the largest clusters of near copies, most members in all.
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, sig long, n long")
+    Pairs within a labelled cluster needn't be counted; members of clusters beyond the bound are counted pair by pair."""
+    size = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("size")).where("size >= 8")
+    rows = clusters.join(size, "root").orderBy(F.desc("size"), "root", "node").select("node", "root").limit(LABELLED if most is None else most).toPandas()
+    node, root = rows.node.to_numpy(np.int64), rows.root.to_numpy(np.int64)
+    order = np.argsort(node)
+    return node[order], root[order]
 
 
 def shingle_counters(docs: DataFrame) -> np.ndarray:
@@ -107,14 +145,21 @@ def shingle_counters(docs: DataFrame) -> np.ndarray:
                         seen.add(h)
                     np.add.at(total, _bucket(s), np.uint32(1))
         for k, part in enumerate(total.reshape(SLICES, -1)):
-            narrow = part.astype(np.uint8) if part.max() < 256 else part
-            yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int32()), "v": pa.array([narrow.tobytes()], pa.binary())})
+            # nearly all of a task's counts are 0 to 3: one byte each, the few larger ones apart, deflated
+            large = np.flatnonzero(part > 254)
+            apart = np.stack([large.astype(np.uint32), part[large]]).tobytes()
+            small_ones = np.minimum(part, 255).astype(np.uint8)
+            small_ones[large] = 0
+            yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int32()), "v": pa.array([zlib.compress(small_ones.tobytes() + apart, 1)], pa.binary())})
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         size = BUCKETS // SLICES
         out = np.zeros(size, np.uint64)
         for v in pdf.v:
-            out += np.frombuffer(v, np.uint8 if len(v) == size else np.uint32)
+            raw = zlib.decompress(v)
+            out += np.frombuffer(raw[:size], np.uint8)
+            where, many = np.frombuffer(raw[size:], np.uint32).reshape(2, -1)
+            out[where] += many
         return pd.DataFrame({"k": pdf.k[:1], "v": [np.minimum(out, 0xFFFFFFFF).astype(np.uint32).tobytes()]})
 
     rows = docs.select("text").mapInArrow(run, "k int, v binary").groupBy("k").applyInPandas(add, "k int, v binary").collect()
@@ -128,20 +173,27 @@ def shingle_counters(docs: DataFrame) -> np.ndarray:
 
 
 def replicas(docs: DataFrame, counters, parts: int) -> DataFrame:
-    """Packed replicas: (part, sets, keys, owner, place); keys sorted within each blob. counters: a broadcast of the table."""
+    """Packed replicas: (part, sets, keys, place). A blob lists sets (signature, size, replicas in this part), then the replicas'
+    keys and places set by set. counters: a broadcast of the table."""
 
     def pack(sigs, sizes, keys, owner, place):
         part = ((keys & np.uint64(0xFFFFF)) % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        edge = np.searchsorted(part[order], np.arange(parts + 1))
+        order = np.argsort(part, kind="stable")  # within a part: set by set, places rising
+        code = part[order] * len(sigs) + owner[order]
+        first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+        many = np.diff(np.append(first, len(code)))
+        run_part, run_set = np.divmod(code[first], len(sigs))
+        key, near = (keys[order] >> np.uint64(32)).astype("<u4"), place[order].astype(np.uint8)
+        edge = np.searchsorted(run_part, np.arange(parts + 1))
+        upto = np.append(first, len(code))
         out = []
-        for p in range(parts):
-            some = order[edge[p] : edge[p + 1]]
-            if len(some):
-                own, small = np.unique(owner[some], return_inverse=True)
-                out.append((p, np.stack([sigs[own], sizes[own]]).astype("<i8").tobytes(), (keys[some] >> np.uint64(32)).astype("<u4").tobytes(), small.astype("<u2").tobytes(), place[some].astype("<u2").tobytes()))
-        cols = list(zip(*out)) or [()] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int32(), *[pa.binary()] * 4])], ["part", "sets", "keys", "owner", "place"])
+        for p in np.unique(run_part).tolist():
+            a, z = edge[p], edge[p + 1]
+            own = run_set[a:z]
+            sets = sigs[own].astype("<i8").tobytes() + sizes[own].astype("<u4").tobytes() + many[a:z].astype("<u4").tobytes()
+            out.append((p, sets, key[upto[a] : upto[z]].tobytes(), near[upto[a] : upto[z]].tobytes()))
+        cols = list(zip(*out)) or [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int32(), *[pa.binary()] * 3])], ["part", "sets", "keys", "place"])
 
     def run(batches):
         table = counters.value
@@ -159,56 +211,51 @@ def replicas(docs: DataFrame, counters, parts: int) -> DataFrame:
                 near = near[np.argsort(rank[near], kind="stable")]
                 keys.append(s[near])
                 owner.append(np.full(w, len(sigs)))
-                # positions in 65535ths of the set's size, rounded down, so that they never exclude a pair
-                place.append(np.arange(w) * 65535 // n)
+                # positions in 255ths of the set's size, rounded down, so that they never exclude a pair
+                place.append(np.arange(w) * 255 // n)
                 sigs.append(h)
                 sizes.append(n)
                 have += w
-                if have > 800_000 or len(sigs) >= 60_000:
+                if have > 2_000_000:
                     yield pack(np.array(sigs), np.array(sizes), *map(np.concatenate, (keys, owner, place)))
                     sigs, sizes, keys, owner, place, have = [], [], [], [], [], 0
         if sigs:
             yield pack(np.array(sigs), np.array(sizes), *map(np.concatenate, (keys, owner, place)))
 
-    return docs.select("text").mapInArrow(run, "part int, sets binary, keys binary, owner binary, place binary")
+    return docs.select("text").mapInArrow(run, "part int, sets binary, keys binary, place binary")
 
 
-def meet(blobs: list[tuple[bytes, bytes, bytes, bytes]], batch: int = 500_000):
-    """Yields (a, b, times) of set signatures a < b that meet in the regions of one partition; each pair once a yield."""
-    sig_parts, size_parts, key, own, place, base = [], [], [], [], [], 0
-    for sets, k, o, p in blobs:
-        two = np.frombuffer(sets, "<i8").reshape(2, -1)
-        sig_parts.append(two[0])
-        size_parts.append(two[1])
+def meet(blobs: list[tuple[bytes, bytes, bytes]], clusters: tuple[np.ndarray, np.ndarray] | None = None, batch: int = 500_000):
+    """Yields (kinds, size, codes, times): pairs of sets that meet in the regions of one partition, as indices x << 32 | y with
+    x < y of the sorted signatures kinds; each pair once a yield. Pairs within one of the labelled clusters are left out, and a
+    region's largest cluster isn't paired with itself: a region costs its members times those outside that cluster."""
+    sig, size, many, key, place = [], [], [], [], []
+    for sets, k, p in blobs:
+        n = len(sets) // 16
+        sig.append(np.frombuffer(sets, "<i8", n))
+        size.append(np.frombuffer(sets, "<u4", n, 8 * n))
+        many.append(np.frombuffer(sets, "<u4", n, 12 * n))
         key.append(np.frombuffer(k, "<u4"))
-        own.append(np.frombuffer(o, "<u2").astype(np.int64) + base)
-        place.append(np.frombuffer(p, "<u2"))
-        base += two.shape[1]
-    sig, size = np.concatenate(sig_parts), np.concatenate(size_parts)
-    kinds, first, same = np.unique(sig, return_index=True, return_inverse=True)
-    size = size[first]
-    key, own, place = np.concatenate(key), same[np.concatenate(own)].astype(np.int64), np.concatenate(place)
-    # copies collapse: one entry for each region and set
-    order = np.lexsort((own, key))
+        place.append(np.frombuffer(p, np.uint8))
+    sig, size, many, key, place = map(np.concatenate, (sig, size, many, key, place))
+    # copies collapse: one run of replicas for each set
+    kinds, first = np.unique(sig, return_index=True)
+    run = np.full(len(sig), -1, np.int32)
+    run[first] = np.arange(len(kinds), dtype=np.int32)
+    own = np.repeat(run, many)
+    size = size[first].astype(np.int64)
+    label = np.arange(len(kinds))
+    if clusters is not None and len(clusters[0]):
+        at = np.minimum(np.searchsorted(clusters[0], kinds), len(clusters[0]) - 1)
+        known = clusters[0][at] == kinds
+        label[known] = len(kinds) + np.unique(clusters[1][at[known]], return_inverse=True)[1]
+    if (own < 0).any():
+        keep = own >= 0
+        key, own, place = key[keep], own[keep], place[keep]
+    order = np.argsort(key, kind="stable")
     key, own, place = key[order], own[order], place[order]
-    keep = np.r_[True, (key[1:] != key[:-1]) | (own[1:] != own[:-1])]
-    key, own, place = key[keep], own[keep], place[keep]
     edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
-    long = np.diff(edge)
-    first = np.repeat(edge[:-1], long)
-    shared = np.repeat(long, long) > 1
-    own, place, first = own[shared], place[shared].astype(np.int64), first[shared]
-    n = size[own]
-    room = n - place * n // 65535  # shingles from here on, not less than they are
-    # within a region, by size: partners of x are the following sets of up to |x| / 0.6 shingles
-    order = np.lexsort((n, first))
-    own, n, room, first = own[order], n[order], room[order], first[order]
-    last = np.searchsorted(first, first, side="right")
-    scaled = first.astype(np.float64) * (1 << 26)
-    upto = np.minimum(last, np.searchsorted(scaled + n, scaled + np.floor(n / 0.6 + 1e-9), side="right")) if n.max(initial=0) < 1 << 26 else last
-    many = upto - np.arange(len(own)) - 1
-    begin = 0
-    total = np.concatenate([[0], np.cumsum(many)])
+    del order, key
     held: list[tuple[np.ndarray, np.ndarray]] = []
     weight = 0
 
@@ -218,36 +265,58 @@ def meet(blobs: list[tuple[bytes, bytes, bytes, bytes]], batch: int = 500_000):
         u, inv = np.unique(code, return_inverse=True)
         return u, np.bincount(inv, times).astype(np.int64)
 
-    while begin < len(own):
-        end = max(begin + 1, int(np.searchsorted(total, total[begin] + batch, side="right")) - 1)
-        m = many[begin:end]
-        i = np.repeat(np.arange(begin, end), m)
-        j = i + 1 + np.arange(len(i)) - np.repeat(total[begin:end] - total[begin], m)
-        least = need(n[i], n[j]) - NEED + 1
-        ok = (room[i] >= least) & (room[j] >= least)
-        a, b = own[i[ok]], own[j[ok]]
-        u, c = np.unique(np.minimum(a, b) << 32 | np.maximum(a, b), return_counts=True)
-        held.append((u, c))
-        weight += len(u)
-        if weight > 2 * batch:
-            held = [counted()]
-            weight = len(held[0][0])
-            if weight > batch:
-                u, c = held[0]
-                yield kinds, size, u, c
-                held, weight = [], 0
-        begin = end
+    a = 0
+    while a < len(edge) - 1:  # some regions at a time
+        z = max(a + 1, int(np.searchsorted(edge, edge[a] + batch, side="right")) - 1)
+        long = np.diff(edge[a : z + 1])
+        some = np.repeat(long, long) > 1
+        region = np.repeat(np.arange(z - a), long)[some]
+        o = own[edge[a] : edge[z]][some].astype(np.int64)
+        n = size[o]
+        room = n - place[edge[a] : edge[z]][some].astype(np.int64) * n // 255  # shingles from here on, not less than they are
+        a = z
+        # within a region cluster by cluster, the largest last; partners of x are the sets of the clusters that follow
+        kind = label[o]
+        order = np.lexsort((kind, region))
+        same = np.r_[True, (region[order][1:] != region[order][:-1]) | (kind[order][1:] != kind[order][:-1])] if len(o) else np.zeros(0, bool)
+        block = np.cumsum(same) - 1
+        members = np.bincount(block)
+        order = order[np.lexsort((block, members[block], region[order]))] if len(o) else order
+        o, n, room, region, kind = o[order], n[order], room[order], region[order], kind[order]
+        after = np.r_[np.flatnonzero(np.r_[True, (region[1:] != region[:-1]) | (kind[1:] != kind[:-1])])[1:], len(o)] if len(o) else order
+        after = np.repeat(after, np.diff(np.r_[0, after]))
+        partners = np.searchsorted(region, region, side="right") - after
+        total = np.concatenate([[0], np.cumsum(partners)])
+        begin = 0
+        while begin < len(o):
+            end = max(begin + 1, int(np.searchsorted(total, total[begin] + batch, side="right")) - 1)
+            m = partners[begin:end]
+            i = np.repeat(np.arange(begin, end), m)
+            j = np.repeat(after[begin:end], m) + np.arange(len(i)) - np.repeat(total[begin:end] - total[begin], m)
+            least = need(n[i], n[j]) - NEED + 1
+            ok = (room[i] >= least) & (room[j] >= least) & (5 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j]))
+            x, y = o[i[ok]], o[j[ok]]
+            u, c = np.unique(np.minimum(x, y) << 32 | np.maximum(x, y), return_counts=True)
+            held.append((u, c))
+            weight += len(u)
+            if weight > 2 * batch:
+                held = [counted()]
+                weight = len(held[0][0])
+                if weight > batch:
+                    yield kinds, size, *held[0]
+                    held, weight = [], 0
+            begin = end
     if held:
-        u, c = counted()
-        yield kinds, size, u, c
+        yield kinds, size, *counted()
 
 
-def meetings(packed: DataFrame, pair_parts: int) -> DataFrame:
-    """Packed pairs (part, pairs): signatures, times of meeting and times needed; a pair always goes to the same part."""
+def meetings(packed: DataFrame, pair_parts: int, clusters=None) -> DataFrame:
+    """Packed pairs (part, pairs): signatures, times of meeting and times needed; a pair always goes to the same part. clusters: a
+    broadcast of labels()."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for kinds, size, u, c in meet(list(zip(pdf.sets, pdf["keys"], pdf.owner, pdf.place))):
+        for kinds, size, u, c in meet(list(zip(pdf.sets, pdf["keys"], pdf.place)), clusters.value if clusters else None):
             x, y = u >> 32, u & 0xFFFFFFFF  # kinds are sorted, so the smaller index is the smaller signature
             least = np.minimum(NEED, need(size[x], size[y]))
             # pairs that meet often enough right here are edges: their spanning forest stands for them, and pairs within one
@@ -258,7 +327,7 @@ def meetings(packed: DataFrame, pair_parts: int) -> DataFrame:
             label[node] = root
             apart = label[x] != label[y]
             x, y = np.concatenate([root, x[apart]]), np.concatenate([node, y[apart]])
-            c, least = np.concatenate([np.full(len(node), NEED), c[apart]]), np.concatenate([np.ones(len(node), np.int64), least[apart]])
+            c, least = np.concatenate([np.full(len(node), NEED), np.minimum(c[apart], NEED)]), np.concatenate([np.ones(len(node), np.int64), least[apart]])
             a, b = kinds[x], kinds[y]
             part = (a ^ b * 31) % pair_parts
             order = np.argsort(part, kind="stable")
@@ -266,7 +335,7 @@ def meetings(packed: DataFrame, pair_parts: int) -> DataFrame:
             for p in range(pair_parts):
                 some = order[edge[p] : edge[p + 1]]
                 if len(some):
-                    out.append((p, np.stack([a[some], b[some], c[some] << 8 | least[some]]).astype("<i8").tobytes()))
+                    out.append((p, a[some].astype("<i8").tobytes() + b[some].astype("<i8").tobytes() + (c[some] << 4 | least[some]).astype(np.uint8).tobytes()))
         return pd.DataFrame(out, columns=["part", "pairs"])
 
     return packed.groupBy("part").applyInPandas(run, "part int, pairs binary")
@@ -298,13 +367,15 @@ def edges(met: DataFrame) -> DataFrame:
     """Spanning edges (a, b) with a > b of the pairs that meet in enough regions."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        three = np.concatenate([np.frombuffer(v, "<i8").reshape(3, -1) for v in pdf.pairs], axis=1)
-        order = np.lexsort((three[1], three[0]))
-        a, b, t = three[:, order]
+        n = [len(v) // 17 for v in pdf.pairs]
+        a, b = (np.concatenate([np.frombuffer(v, "<i8", k, at * k) for v, k in zip(pdf.pairs, n)]) for at in (0, 8))
+        t = np.concatenate([np.frombuffer(v, np.uint8, k, 16 * k) for v, k in zip(pdf.pairs, n)]).astype(np.int64)
+        order = np.lexsort((b, a))
+        a, b, t = a[order], b[order], t[order]
         new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
         first = np.flatnonzero(new)
-        times = np.add.reduceat(t >> 8, first)
-        enough = times >= (t[first] & 0xFF)
+        times = np.add.reduceat(t >> 4, first)
+        enough = times >= (t[first] & 0xF)
         node, root = forest(a[first][enough], b[first][enough])
         return pd.DataFrame({"a": node, "b": root})
 
@@ -370,8 +441,9 @@ class Region:
         return 1 - c / (self.size[x] + self.size[others] - c)
 
 
-def region_join(sets: list[np.ndarray], side: np.ndarray | None = None, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
-    """All linked pairs (i, j), i < j, of non-empty sets; with side, only pairs whose sides differ. Exact."""
+def region_join(sets: list[np.ndarray], side: np.ndarray | None = None, leaf: int = LEAF, split: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """All linked pairs (i, j), i < j, of non-empty sets; with side, only pairs whose sides differ. Exact. split gets the number of
+    sets of each region and cell that was divided."""
     r = Region(sets)
     found: list[np.ndarray] = []
     tiny = 1e-9
@@ -424,6 +496,8 @@ def region_join(sets: list[np.ndarray], side: np.ndarray | None = None, leaf: in
         if max(len(h) + len(w) for h, w in cells) > 0.8 * len(members):
             compare(members, home)  # the windows no longer separate these sets
             return
+        if split is not None:
+            split.append(len(members))
         for h, w in cells:
             join(h, w, depth + 1)
 
@@ -436,69 +510,82 @@ def region_join(sets: list[np.ndarray], side: np.ndarray | None = None, leaf: in
     return pairs[0], pairs[1]
 
 
+def _wanted(member: DataFrame, limit: int):
+    """The members (sig, root, blocks, docs, grp) as sorted arrays if they are limit at most, else None."""
+    some = member.limit(limit + 1).toPandas()
+    if len(some) > limit:
+        return None
+    some = some.sort_values("sig")
+    return tuple(some[c].to_numpy(np.int64) for c in ("sig", "root", "blocks", "docs", "grp"))
+
+
 def class_links(docs: DataFrame, classes: DataFrame, regions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(sig, similar: documents in linked classes), and spanning link edges (a, b), of the classes in regions.
 
-    classes: sig, n, docs, first; regions: node, root."""
+    classes: sig, n, docs, first; regions: node, root. Sets move once, from the task that reads the text to their region, if the
+    members fit BROADCAST_MEMBERS; otherwise they move to their member's row first, and then to the region."""
     spark = docs.sparkSession
     member = classes.join(regions, classes.sig == regions.node).select("sig", "root", "docs", "first", "n")
     load = member.groupBy("root").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles"))
-    load = load.withColumn("blocks", F.ceil(F.greatest(F.col("sets") / REGION, F.col("shingles") / REGION_SHINGLES)).cast("int"))
-    # one document of each class is asked for its text; a bitmap of fixed size keeps most others from moving
-    # small regions share a task's group; a region of more blocks has a group for each pair of them
-    groups = 8 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    member = cut(member.join(load.select("root", "blocks"), "root"), "op3-members")
-
-    def bits(pdf_iter):
-        m = np.zeros(1 << 20, np.uint8)
-        for b in pdf_iter:
-            h = b.column("sig").to_numpy(zero_copy_only=False)
-            np.bitwise_or.at(m, (h >> 3) & 0xFFFFF, (1 << (h & 7)).astype(np.uint8))
-        yield pa.RecordBatch.from_pydict({"m": pa.array([m.tobytes()], pa.binary())})
-
-    def either(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = np.zeros(1 << 20, np.uint8)
-        for v in pdf.m:
-            m |= np.frombuffer(v, np.uint8)
-        return pd.DataFrame({"m": [m.tobytes()]})
-
-    few = member.select("sig").coalesce(16).mapInArrow(bits, "m binary").groupBy().applyInPandas(either, "m binary").collect()
-    bitmap = spark.sparkContext.broadcast(few[0].m if few else b"\0" * (1 << 20))  # 1 MB, whatever the input
-
-    def sets_of(batches):
-        m = np.frombuffer(bitmap.value, np.uint8)
-        seen: set[int] = set()
-        for b in small(batches):
-            out: list[tuple[int, bytes]] = []
-            for _, s in document_sets(b.column("text").to_pylist()):
-                if len(s):
+    load = load.withColumn("blocks", F.ceil(F.greatest(F.col("sets") / REGION, F.col("shingles") / REGION_SHINGLES)).cast("long"))
+    # small regions share a task's group, of about GROUP_SHINGLES shingles; a region of more blocks has a group for each pair of them
+    groups = max(1, int((load.agg(F.sum("shingles")).first()[0] or 0) // GROUP_SHINGLES) + 1)
+    member = cut(member.join(load.select("root", "blocks"), "root").withColumn("grp", F.pmod(F.xxhash64("root"), F.lit(groups)).cast("long")).select("sig", "root", "blocks", "docs", "grp"), "op3-members")
+    schema = "grp long, root long, i long, j long, own long, sig long, docs long, shingles binary"
+
+    def placed(sig: np.ndarray, root, blocks, docs_of, grp, shingles: list):
+        """A row for each pair of blocks that a set takes part in."""
+        own = (sig ^ sig >> 17) % blocks
+        at = np.repeat(np.arange(len(sig)), blocks)
+        other = np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        i, j = np.minimum(own[at], other), np.maximum(own[at], other)
+        where = np.where(blocks[at] > 1, -1 - ((root[at] * 31 + i) * 31 + j & 0x3FFFFFFF), grp[at])
+        return pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int64)) for x in (where, root[at], i, j, own[at], sig[at], docs_of[at])), pa.array(shingles, pa.binary()).take(pa.array(at))], [x.split()[0] for x in schema.split(", ")])
+
+    known = _wanted(member, BROADCAST_MEMBERS)
+    if known is not None:
+        shared = spark.sparkContext.broadcast(known)
+
+        def sets_placed(batches):
+            every = shared.value
+            seen: set[int] = set()
+            for b in small(batches, 200):
+                out: list[tuple[int, bytes]] = []
+                for _, s in document_sets(b.column("text").to_pylist()):
+                    if not len(s):
+                        continue
                     h = set_hash(s)
-                    if m[(h >> 3) & 0xFFFFF] >> (h & 7) & 1 and h not in seen:
-                        if len(seen) < 1 << 20:
-                            seen.add(h)
-                        out.append((h, s.tobytes()))
-                        if len(out) >= 500:
-                            yield pa.RecordBatch.from_pydict({"sig": pa.array([x for x, _ in out], pa.int64()), "shingles": pa.array([x for _, x in out], pa.binary())})
-                            out = []
-            yield pa.RecordBatch.from_pydict({"sig": pa.array([x for x, _ in out], pa.int64()), "shingles": pa.array([x for _, x in out], pa.binary())})
-
-    sets = docs.select("text").mapInArrow(sets_of, "sig long, shingles binary")
-    whole = sets.join(member, "sig")
-    block = F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")
-    paired = whole.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    paired = paired.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    key = F.when(F.col("blocks") > 1, F.concat_ws("/", "root", "i", "j")).otherwise(F.concat(F.lit("g"), F.pmod(F.xxhash64("root"), F.lit(groups))))
-    paired = paired.select(key.alias("grp"), "root", "i", "j", "own", "sig", "docs", "shingles")
+                    at = int(np.searchsorted(every[0], h))
+                    if at < len(every[0]) and every[0][at] == h and h not in seen:
+                        seen.add(h)  # at most as many as members
+                        out.append((at, s.tobytes()))
+                at = np.array([x for x, _ in out], np.int64)
+                yield placed(*(c[at] for c in every), [x for _, x in out])
+
+        paired = docs.select("text").mapInArrow(sets_placed, schema)
+    else:
+
+        def sets_of(batches):
+            for b in small(batches, 200):
+                out = [(set_hash(s), s.tobytes()) for _, s in document_sets(b.column("text").to_pylist()) if len(s)]
+                yield pa.RecordBatch.from_pydict({"sig": pa.array([x for x, _ in out], pa.int64()), "shingles": pa.array([x for _, x in out], pa.binary())})
+
+        def place(batches):
+            for b in small(batches, 200):
+                yield placed(*(b.column(c).to_numpy(zero_copy_only=False) for c in ("sig", "root", "blocks", "docs", "grp")), b.column("shingles").to_pylist())
+
+        paired = docs.select("text").mapInArrow(sets_of, "sig long, shingles binary").join(member, "sig").select("sig", "root", "blocks", "docs", "grp", "shingles").mapInArrow(place, schema)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        sigs, similar, a, b = [], [], [], []
+        sigs, similar, a, b, cells = [], [], [], [], []
         for (_, i, j), g in pdf.groupby(["root", "i", "j"], sort=False):
             g = g.drop_duplicates("sig")
             if len(g) < 2:
                 continue
             s = g.sig.to_numpy(np.int64)
             docs_of = g.docs.to_numpy(np.int64)
-            x, y = region_join([np.frombuffer(v, np.uint64) for v in g.shingles], None if i == j else g.own.to_numpy())
+            split: list[int] = []
+            x, y = region_join([np.frombuffer(v, np.uint64) for v in g.shingles], None if i == j else g.own.to_numpy(), split=split)
             count = np.bincount(x, docs_of[y], len(s)) + np.bincount(y, docs_of[x], len(s))
             some = np.flatnonzero(count)
             node, root = forest(s[x], s[y]) if len(x) else (s[:0], s[:0])
@@ -506,9 +593,10 @@ def class_links(docs: DataFrame, classes: DataFrame, regions: DataFrame) -> tupl
             similar += count[some].astype(np.int64).tolist() + [0] * len(node)
             a += [0] * len(some) + node.tolist()
             b += [0] * len(some) + root.tolist()
-        return pd.DataFrame({"sig": sigs, "similar": similar, "a": a, "b": b}, dtype="int64")
+            cells += [len(s) if split else 0] * (len(some) + len(node))
+        return pd.DataFrame({"sig": sigs, "similar": similar, "a": a, "b": b, "celled": cells}, dtype="int64")
 
-    solved = cut(paired.groupBy("grp").applyInPandas(solve, "sig long, similar long, a long, b long"), "op3-links")
+    solved = cut(paired.groupBy("grp").applyInPandas(solve, "sig long, similar long, a long, b long, celled long"), "op3-links")
     return solved.where("sig <> 0").groupBy("sig").agg(F.sum("similar").alias("similar")), solved.where("sig = 0").select("a", "b")
 
 
@@ -517,19 +605,21 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     own = cut(signatures(docs), "op3-signatures")
-    classes = cut(own.where("sig <> 0").groupBy("sig").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first")), "op3-classes")
+    classes = cut(own.where("sig <> 0").groupBy("sig").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first"), F.first("words").alias("words")), "op3-classes")
     total = own.agg(F.sum(F.col("n") - F.ceil(F.col("n") * 0.6) + NEED)).first()[0] or 0
     parts = max(1, -(-int(total) // KEYS_PER_PART))
+    copies = cut(near_copies(classes), "op3-copies")
+    clusters = spark.sparkContext.broadcast(labels(components(copies, "op3-clusters")))
     counters = spark.sparkContext.broadcast(shingle_counters(docs))
     packed = replicas(docs, counters, parts)
-    met = meetings(packed, max(1, parts))
-    regions = components(edges(met), "op3-regions")
+    met = meetings(packed, max(1, parts), clusters)
+    regions = components(edges(met).union(copies), "op3-regions")
     similar, links = class_links(docs, classes, regions)
     linked = components(links, "op3-components")
     of = classes.join(similar, "sig", "left").join(linked.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "first", "docs", F.coalesce("similar", F.lit(0)).alias("similar"), F.coalesce("root", "sig").alias("root"))
     least = of.groupBy("root").agg(F.min("first").alias("component"))
     of = cut(of.join(least, "root").select("sig", "first", "docs", "similar", "component"), "op3-answers")
-    out = own.join(of, "sig", "left")
+    out = own.drop("words").join(of, "sig", "left")
     has = F.col("sig") != 0
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(has, F.col("similar") + F.col("docs") - 1).otherwise(0).cast("long").alias("n_similar"), F.when(has, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.when(has, F.col("first")).otherwise(F.col("doc_id")).alias("class_id"))
 

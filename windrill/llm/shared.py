@@ -1,7 +1,7 @@
 """Work folders and written tables that every executor can reach.
 
-Lineage is cut with tables written under ``spark.checkpoint.dir``; where that is unset (tests on one machine) a local folder
-is set. Files that Python workers write go through pyarrow's file systems, so file:, hdfs: and s3: folders all work. A task
+Lineage is cut with tables written under ``spark.checkpoint.dir``; where that is unset, a session on one machine (tests) gets a
+local folder, and a cluster's session is refused. Files that Python workers write go through pyarrow's file systems, so file:, hdfs: and s3: folders all work. A task
 writes under a name of its own and reports it in its rows; only reported files are read, so a lost or repeated attempt
 leaves nothing but an unread file.
 """
@@ -9,6 +9,7 @@ leaves nothing but an unread file.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -17,9 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names, or a local one where the session has none."""
+    """The folder that spark.checkpoint.dir names. Where it is unset, a local[...] session gets a folder of this machine; on a
+    cluster no such folder is shared, so that is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = f"file://{tempfile.gettempdir()}/windrill-shared-{os.getuid()}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where

@@ -5,13 +5,16 @@ they imitate. One Aho-Corasick automaton then finds every lexicon entry and exce
 it begins a word; an entry marked whole must also end it. Matches inside an exception phrase are dropped. The summed weights,
 raw and divided by the square root of the number of words, feed a logistic curve that gives the score.
 
-The lexicon is learned: of a bounded sample of labelled training texts (SAMPLE rows, those with the smallest hash of their id; of copies one)
+The lexicon is learned: of a bounded sample of labelled training texts (SAMPLE rows, those with the smallest hash of their id; of
+copies with one label one, the smallest doc_id)
 document frequencies of whole words and word beginnings are counted by label. Entries are those with at least MIN_DF toxic
 texts, a share MIN_SHARE of them, and a smoothed log-odds of at least MIN_WEIGHT; a beginning is kept only if no shorter kept beginning says as much.
 Exception phrases are pairs of neighbouring words that hold an entry, in clean texts alone and at least MIN_EXCEPTION times.
 Everything is scored over whole texts.
 
-Cases: null or empty texts have no match and get the curve's value at 0. Null labels and labels without a text are no training
+Cases: null or empty texts have no match and get the curve's value at 0. A null doc_id is scored like any other, is never a
+training row and not held out. Very long texts are folded and matched whole, in one pass. Ties: of entries that begin at one
+place the heaviest counts, whichever of equal ones; terms of equal weight are taken alphabetically. Empty documents: no row. Null labels and labels without a text are no training
 rows. Without training rows of both kinds every score is 0. Repeated rows are scored each for themselves. Further columns of
 either table are ignored.
 """
@@ -79,12 +82,13 @@ def sample_labels(labels: DataFrame, training, size: int = SAMPLE) -> DataFrame:
 
 
 def distinct_texts(rows: DataFrame) -> DataFrame:
-    """One row of those whose least hash of three neighbouring words is the same: copies and most near copies of a text, which
-    would make their whole vocabulary look typical of their label. The smallest doc_id stays."""
+    """Of each label, one row of those whose least hash of three neighbouring words is the same: copies and most near copies of a
+    text, which would make their whole vocabulary look typical of their label. The smallest doc_id stays. Rows of different
+    labels never displace each other: a clean text with insults added is what the lexicon has to learn from."""
     words = F.split(F.lower("text"), r"\s+")
     triples = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - 2, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("_w", i, 3), " ")))
     rows = rows.withColumn("_w", words).withColumn("_s", F.array_min(triples))
-    place = F.row_number().over(W.partitionBy("_s").orderBy("doc_id", "text"))  # at most SAMPLE rows in all
+    place = F.row_number().over(W.partitionBy("_s", F.col("toxic") > 0).orderBy("doc_id", "text"))  # at most SAMPLE rows in all
     return rows.withColumn("_p", place).where("_p = 1").drop("_w", "_s", "_p")
 
 
