@@ -96,6 +96,51 @@ def test_region_join_is_exact_at_every_leaf_size(leaf):
     assert list(zip(*map(list, jaccard.region_join(sets, side, leaf=leaf)))) == [(i, j) for i, j in want if side[i] != side[j]]
 
 
+def test_one_large_region_and_a_hot_shingle(spark):
+    """5,200 near copies in a chain of versions, and as many unrelated texts that share one shingle; counts by brute force on bits."""
+    r = random.Random(11)
+    base = [f"w{i}" for i in range(30)]
+    rows = []
+    for k in range(5200):
+        if k % 40 == 0:
+            base[r.randrange(30)] = f"v{k}"
+        copy = list(base)
+        copy[r.randrange(30)] = f"x{k}"
+        rows.append((k, " ".join(copy)))
+    rows += [(10_000 + k, f"hot shingle a{k} b{k} c{k} d{k}") for k in range(5200)]
+    got = {x.doc_id: (x.n_similar, x.component_id) for x in jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
+    number: dict = {}
+    sets = [np.array(sorted({number.setdefault(g, len(number)) for g in sets_by_hand(t)})) for _, t in rows[:5200]]
+    many = np.zeros((5200, len(number)), np.float32)
+    for k, s in enumerate(sets):
+        many[k, s] = 1
+    size = many.sum(1)
+    near = np.zeros(5200, int)
+    for k in range(0, 5200, 400):
+        c = many[k : k + 400] @ many.T
+        near[k : k + 400] = (100 * c >= 60 * (size[k : k + 400, None] + size[None, :] - c)).sum(1) - 1
+    assert [got[k][0] for k in range(5200)] == near.tolist() and {got[k][1] for k in range(5200)} == {0}
+    assert all(got[10_000 + k] == (0, 10_000 + k) for k in range(5200))
+
+
+def test_region_join_divides_unrelated_clusters():
+    r = np.random.default_rng(3)
+    base = [np.unique(r.integers(0, 1 << 40, 60)).astype(np.uint64) for _ in range(12)]
+    sets = [np.unique(np.r_[b[r.permutation(len(b))[:55]], r.integers(0, 1 << 40, 3).astype(np.uint64)]) for b in base for _ in range(20)]
+    done = {"divided": 0, "bounds": 0, "compared": 0}
+    x, _ = jaccard.region_join(sets, done=done)
+    assert len(x) == 12 * 190 and done["divided"] == 240 and done["compared"] + done["bounds"] < 240 * 239 / 2 / 3
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_jaccard_join_with_and_without_broadcast_members(spark, monkeypatch, most):
+    monkeypatch.setattr(jaccard, "BROADCAST_MEMBERS", most)
+    monkeypatch.setattr(jaccard, "LABELLED", most)
+    rows = corpus(21, 9)
+    got = sorted((r.doc_id, r.n_shingles, r.n_similar, r.component_id) for r in jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == jaccard_by_hand(rows)
+
+
 def test_jaccard_sql_agrees_with_brute_force():
     rows = [r for r in corpus(2, 6)]
     con = duckdb.connect()

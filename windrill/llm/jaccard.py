@@ -12,18 +12,24 @@ NEED - 1 more, so that a linked pair meets in NEED regions, or in all its common
 region only if both positions still leave room for the intersection that their sizes ask for. Pairs that meet often enough are
 edges; components of edges are merged regions, and no link leaves one.
 
-Level 1 and deeper, region_join(): sets of a merged region go to the Voronoi cells of document pivots by their exact distances;
-y joins the cell of p if d(y,p) <= d(y,own pivot) + 2 EPS and d(y,p) <= radius(p) + EPS; cells are joined recursively down to
-LEAF sets, or where cells no longer get smaller. Triangle bounds through the pivot accept or reject pairs without a comparison;
-what is left is compared exactly. Regions of over REGION sets are cut in blocks, and each pair of blocks is a task of its own.
-
-Copies: equal sets are one class throughout, collapsed inside a task and again in each region. Nothing is capped or sampled.
-What moves are packed arrays: keys as 32 bits within one of the partitions, and 2-byte positions. The rarity order comes from a
-table of 2^22 counters over all documents, a broadcast of fixed size; any order gives the same result.
+Level 1 and deeper, region_join(): sets of a merged region go to the Voronoi cells of document pivots by their exact distances, as
+far as RHO; sets farther from every pivot go on with other pivots. y joins the cell of p if d(y,p) <= d(y,own pivot) + 2 EPS and
+d(y,p) <= radius(p) + EPS; cells are joined recursively down to LEAF sets, or where cells no longer get smaller. Triangle bounds
+through the pivot accept or reject pairs without a comparison; what is left is compared exactly. Regions of over REGION sets are
+cut in blocks, and each pair of blocks is a task of its own.
+
+Hot groups: equal sets are one class throughout, collapsed inside a task and again in each region. Near copies share a word of
+their sketch and are put in one region for that (sketches only add to a region, so the result stays exact); pairs within such a
+cluster aren't counted at level 0, so a shingle that a third of all sets hold as copies costs its members times the sets outside
+the cluster. Nothing is capped or sampled. What moves are packed arrays: keys as 32 bits within one of the partitions, and 1-byte
+positions. The rarity order comes from a table of 2^22 counters over all documents, a broadcast of fixed size; any order gives
+the same result.
 
 Cases: null or empty texts and texts without a word have an empty set, no link, and are their own component; a null doc_id can't
 be named as a component, so such rows count as documents but give way to others' ids (null if a component has none). Rows that
-repeat a doc_id are documents of their own. Sets are known by 64-bit hashes of their shingles' 64-bit hashes.
+repeat a doc_id are documents of their own. Very long texts are read whole. Ties: links, components and counts don't depend on an
+order. An empty table gives no row; other columns are dropped, whatever their names. Sets are known by 63-bit hashes of their
+shingles' 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -41,6 +47,8 @@ from .shared import cut, read_table, small
 from .textnum import shingles, word_hashes
 
 EPS = 0.4
+#: the largest radius of a cell of level 1 and deeper; sets farther from every pivot go on with other pivots
+RHO = 0.5
 #: a linked pair shares this many of the regions it is replicated to
 NEED = 3
 BUCKETS = 1 << 22
@@ -441,9 +449,9 @@ class Region:
         return 1 - c / (self.size[x] + self.size[others] - c)
 
 
-def region_join(sets: list[np.ndarray], side: np.ndarray | None = None, leaf: int = LEAF, split: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """All linked pairs (i, j), i < j, of non-empty sets; with side, only pairs whose sides differ. Exact. split gets the number of
-    sets of each region and cell that was divided."""
+def region_join(sets: list[np.ndarray], side: np.ndarray | None = None, leaf: int = LEAF, done: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """All linked pairs (i, j), i < j, of non-empty sets; with side, only pairs whose sides differ. Exact. done counts the sets of
+    divided regions (divided), pairs decided by a pivot's distances (bounds) and pairs compared (compared)."""
     r = Region(sets)
     found: list[np.ndarray] = []
     tiny = 1e-9
@@ -464,9 +472,13 @@ def region_join(sets: list[np.ndarray], side: np.ndarray | None = None, leaf: in
                 near = near[is_home[members[near]]]
             if side is not None:
                 near = near[side[members[near]] != side[x]]
+            among = len(near)
             near = near[np.abs(far[near] - far[k]) <= EPS + tiny]
             sure = far[near] + far[k] <= EPS - tiny
             rest = near[~sure]
+            if done is not None:
+                done["bounds"] += among - len(rest)
+                done["compared"] += len(rest)
             c = r.common(x, members[rest])
             linked = np.concatenate([near[sure], rest[c >= need(n[k], n[rest])]])
             if len(linked):
@@ -484,20 +496,22 @@ def region_join(sets: list[np.ndarray], side: np.ndarray | None = None, leaf: in
         d = np.stack([r.distance(p, members) for p in pivots])
         own = d.argmin(0)
         nearest = d.min(0)
-        cells = []
+        many = len(home)
+        rest = nearest[:many] > RHO
+        cells = [(home[rest], window_only)] if rest.any() else []  # their pairs with sets of a cell are found in that cell
         for c in range(len(pivots)):
-            inside = own[: len(home)] == c
+            inside = (own[:many] == c) & ~rest
             if not inside.any():
                 continue
-            radius = nearest[: len(home)][inside].max()
+            radius = nearest[:many][inside].max()
             close = (d[c] <= nearest + 2 * EPS + tiny) & (d[c] <= radius + EPS + tiny)
-            close[: len(home)] &= ~inside
+            close[:many] &= ~inside
             cells.append((home[inside], members[close]))
         if max(len(h) + len(w) for h, w in cells) > 0.8 * len(members):
             compare(members, home)  # the windows no longer separate these sets
             return
-        if split is not None:
-            split.append(len(members))
+        if done is not None and depth == 0:
+            done["divided"] += len(members)
         for h, w in cells:
             join(h, w, depth + 1)
 
@@ -577,15 +591,15 @@ def class_links(docs: DataFrame, classes: DataFrame, regions: DataFrame) -> tupl
         paired = docs.select("text").mapInArrow(sets_of, "sig long, shingles binary").join(member, "sig").select("sig", "root", "blocks", "docs", "grp", "shingles").mapInArrow(place, schema)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        sigs, similar, a, b, cells = [], [], [], [], []
+        sigs, similar, a, b = [], [], [], []
+        done = {"divided": 0, "bounds": 0, "compared": 0}
         for (_, i, j), g in pdf.groupby(["root", "i", "j"], sort=False):
             g = g.drop_duplicates("sig")
             if len(g) < 2:
                 continue
             s = g.sig.to_numpy(np.int64)
             docs_of = g.docs.to_numpy(np.int64)
-            split: list[int] = []
-            x, y = region_join([np.frombuffer(v, np.uint64) for v in g.shingles], None if i == j else g.own.to_numpy(), split=split)
+            x, y = region_join([np.frombuffer(v, np.uint64) for v in g.shingles], None if i == j else g.own.to_numpy(), done=done)
             count = np.bincount(x, docs_of[y], len(s)) + np.bincount(y, docs_of[x], len(s))
             some = np.flatnonzero(count)
             node, root = forest(s[x], s[y]) if len(x) else (s[:0], s[:0])
@@ -593,11 +607,12 @@ def class_links(docs: DataFrame, classes: DataFrame, regions: DataFrame) -> tupl
             similar += count[some].astype(np.int64).tolist() + [0] * len(node)
             a += [0] * len(some) + node.tolist()
             b += [0] * len(some) + root.tolist()
-            cells += [len(s) if split else 0] * (len(some) + len(node))
-        return pd.DataFrame({"sig": sigs, "similar": similar, "a": a, "b": b, "celled": cells}, dtype="int64")
+        out = pd.DataFrame({"sig": [*sigs, -1], "similar": [*similar, 0], "a": [*a, 0], "b": [*b, 0]}, dtype="int64")
+        return out.assign(**{k: np.where(out.sig < 0, n, 0) for k, n in done.items()})
 
-    solved = cut(paired.groupBy("grp").applyInPandas(solve, "sig long, similar long, a long, b long, celled long"), "op3-links")
-    return solved.where("sig <> 0").groupBy("sig").agg(F.sum("similar").alias("similar")), solved.where("sig = 0").select("a", "b")
+    # rows of sig -1 say how the pairs were decided
+    solved = cut(paired.groupBy("grp").applyInPandas(solve, "sig long, similar long, a long, b long, divided long, bounds long, compared long"), "op3-links")
+    return solved.where("sig > 0").groupBy("sig").agg(F.sum("similar").alias("similar")), solved.where("sig = 0").select("a", "b")
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:
