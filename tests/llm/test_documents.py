@@ -190,7 +190,7 @@ def test_paraphrases_are_found_up_to_the_share(spark):
     words = lambda n: r.choices(vocabulary, weights, k=n)
     plain = [(k, words(r.choice([100, 300]))) for k in range(300)]
     items = [words(r.choice([20, 35, 60])) for _ in range(30)]
-    freq, n = decontam.document_frequencies(spark.createDataFrame([(k, " ".join(t)) for k, t in plain], "doc_id long, text string"))
+    freq, n, _ = decontam.document_frequencies(spark.createDataFrame([(k, " ".join(t)) for k, t in plain], "doc_id long, text string"))
     idf = np.log((n + 1) / (freq + 1)) + 1e-3
     docs, want = list(plain), set()
     for i, item in enumerate(items):
@@ -211,26 +211,71 @@ def test_paraphrases_are_found_up_to_the_share(spark):
     assert {(x.doc_id, x.item_id) for x in decontam.find_items(df, bench).collect()} == want
 
 
-def test_thresholds_hold_for_every_passage():
-    """No passage that keeps SHARE of an item lies below its threshold, whatever the other words and the space."""
-    r = np.random.default_rng(5)
-    vocabulary = r.integers(0, 1 << 63, 400).astype(np.uint64) * np.uint64(2)
-    occurs = np.unique(decontam.bucket(vocabulary))
-    idf = r.uniform(0.1, 8, decontam.VOCABULARY)
-    for lift in (0, 3):  # words all around, and all on one side
-        basis = (r.standard_normal((decontam.VOCABULARY, decontam.RANK)) + lift).astype(np.float32) / 100
-        words = [r.choice(vocabulary, n) for n in (5, 20, 45)]
-        items = decontam.Items([1, 2, 3], words, idf, basis, occurs)
-        assert lift == 0 or (items.threshold > 0).all()
-        vectors = basis * idf[:, None].astype(np.float32)
-        for k, w in enumerate(words):
-            need = int(np.ceil(decontam.SHARE * len(w)))
-            off = vectors[decontam.bucket(vocabulary)] @ items.vector[k]
-            worst = vocabulary[np.argsort(off)[:3]]
-            for _ in range(50):
-                kept = r.choice(len(w), need, replace=False) if _ else np.argsort(vectors[decontam.bucket(w)] @ items.vector[k])[:need]
-                v = vectors[decontam.bucket(np.r_[w[kept], r.choice(worst, items.blocks[k] * decontam.BLOCK - need)])].sum(0)
-                assert v @ items.vector[k] / np.linalg.norm(v) >= items.threshold[k]
+def _made(seed=5, documents=600):
+    """(word hashes of documents over a Zipf vocabulary, a space of them, counts, the generator)."""
+    r = np.random.default_rng(seed)
+    vocabulary = r.integers(0, 1 << 63, 6000).astype(np.uint64) * np.uint64(2)
+    share = 1 / np.arange(10, 6010)
+    draw = lambda n: r.choice(vocabulary, n, p=share / share.sum())
+    texts = [draw(int(r.integers(60, 700))) for _ in range(documents)]
+    counts, df = np.zeros(decontam.VOCABULARY), np.zeros(decontam.VOCABULARY)
+    for t in texts:
+        counts += np.bincount(decontam.bucket(t), minlength=decontam.VOCABULARY)
+        df[np.unique(decontam.bucket(t))] += 1
+    idf = np.log((documents + 1) / (df + 1)) + 1e-3
+    y = np.concatenate([decontam.sketched(decontam.bucket(t[k : k + 64]), np.zeros(len(t[k : k + 64]), int), idf[decontam.bucket(t[k : k + 64])], 1, decontam._places()) for t in texts for k in range(0, len(t), 64)])
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    value, vector = np.linalg.eigh((y - y.mean(0)).T @ (y - y.mean(0)))
+    some = np.argsort(-value)[: decontam.RANK]
+    return texts, decontam.Space(idf, vector[:, some], counts), counts, draw, r
+
+
+def test_paraphrases_are_retrieved_by_the_cosine():
+    """Items of 15 to 400 words, 35 % of the words replaced at random places, others inserted up to 1.5 times the length: at least
+    0.9 are found, and the cosine leaves 95 % of all (passage, item) pairs of this corpus, whose words are few and skewed."""
+    texts, space, counts, draw, r = _made()
+    words = [draw(n) for n in (15, 20, 30, 45, 60, 120, 200, 400) for _ in range(8)]
+    items = decontam.Items(list(range(len(words))), words, space, counts)
+    found = {n: [] for n in (15, 20, 30, 45, 60, 120, 200, 400)}
+    for k, w in enumerate(words):
+        n = len(w)
+        for _ in range(5):
+            leak = w.copy()
+            leak[r.permutation(n)[: int(0.35 * n)]] = draw(int(0.35 * n))
+            leak = np.insert(leak, np.sort(r.integers(1, n, int(0.5 * n))), draw(int(0.5 * n)))
+            h = np.concatenate([draw(int(r.integers(0, 300))), leak, draw(int(r.integers(0, 300)))])
+            found[n].append(any(i == k for _, i, *_ in items.search(h, np.array([0, len(h)]), decontam._places())))
+    for n, hits in found.items():
+        assert np.mean(hits) >= 0.85, (n, np.mean(hits))
+    assert np.mean(sum(found.values(), [])) >= 0.9
+    h = np.concatenate(texts[:200])
+    at = np.concatenate([[0], np.cumsum([len(t) for t in texts[:200]])])
+    passing = sum(len(c) for _, _, c, _, _ in items.candidates(h, at, decontam._places()))
+    assert passing < 0.05 * len(words) * len(decontam._starts(at, decontam.BLOCK)[0])
+
+
+def test_candidates_equal_brute_force_on_all_passages(monkeypatch):
+    """Runs of few blocks and few items at once give the passages that a loop over all of them gives."""
+    texts, space, counts, draw, r = _made(7, 60)
+    words = [draw(n) for n in (15, 40, 90)]
+    monkeypatch.setattr(decontam, "RUN", 16)
+    monkeypatch.setattr(decontam, "SIDE", 2)
+    items = decontam.Items([1, 2, 3], words, space, counts)
+    h = np.concatenate(texts[:12])
+    at = np.concatenate([[0], np.cumsum([len(t) for t in texts[:12]])])
+    got = {(int(k), int(a), int(z)) for k, _, _, first, end in items.candidates(h, at, decontam._places()) for a, z in zip(first, end)}
+    want, close = set(), set()
+    for t in range(12):
+        for k in range(3):
+            wide = items.blocks[k] * decontam.BLOCK
+            for a in range(at[t], max(at[t] + 1, at[t + 1] - (at[t + 1] - at[t] - 1) % decontam.BLOCK - wide + decontam.BLOCK), decontam.BLOCK):
+                z = min(at[t + 1], a + wide)
+                v = space.words(decontam.bucket(h[a:z])).sum(0)
+                c = v @ items.vector[k] / np.linalg.norm(v)
+                (want if c >= items.threshold[k] else set()).add((k, int(a), int(z)))
+                if abs(c - items.threshold[k]) < 1e-4:
+                    close.add((k, int(a), int(z)))
+    assert want and got - close == want - close
 
 
 def test_longest_common_subsequence_by_brute_force():
@@ -243,20 +288,29 @@ def test_longest_common_subsequence_by_brute_force():
         assert decontam.lcs_within(a, b, 100)[0] == t[-1][-1]
 
 
-def test_latent_basis_is_close_to_the_exact_one(spark):
+def test_latent_space_is_the_exact_one_of_the_sketch(spark):
     r = random.Random(3)
     topics = [["".join(r.choice("abcdef") for _ in range(5)) for _ in range(30)] for _ in range(6)]
-    df = spark.createDataFrame([(k, " ".join(r.choice(topics[k % 6]) for _ in range(64))) for k in range(240)], "doc_id long, text string")
-    freq, n = decontam.document_frequencies(df)
+    rows = [(k, " ".join(r.choice(topics[k % 6]) for _ in range(64))) for k in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    freq, n, counts = decontam.document_frequencies(df)
     idf = np.log((n + 1) / (freq + 1)) + 1e-3
-    v = decontam.latent_basis(df, idf)
-    assert n == 240 and np.allclose(v.T @ v, np.eye(decontam.RANK), atol=1e-3)
-    rows = np.zeros((240, decontam.VOCABULARY), np.float32)
-    for k, x in enumerate(df.collect()):
-        for _, h, at in decontam.sequences([x.text]):
-            np.add.at(rows[k], decontam.bucket(h), idf[decontam.bucket(h)])
-    u, s, vt = np.linalg.svd(rows / np.linalg.norm(rows, axis=1, keepdims=True), full_matrices=False)
-    assert np.linalg.norm(vt[:6] @ v) ** 2 > 0.98 * 6  # the six topics lie in the basis
+    space = decontam.latent_space(df, idf, counts)
+    y = []
+    for _, t in rows:
+        (_, h, _), = decontam.sequences([t])
+        word = decontam.bucket(h)
+        w = idf[word] / np.linalg.norm(idf[word])
+        y.append(decontam.sketched(word, np.zeros(len(word), int), w, 1, decontam._places())[0])
+    y = np.array(y)
+    u, s, vt = np.linalg.svd(y - y.mean(0), full_matrices=False)
+    assert n == 240 and counts.sum() == 240 * 64
+    turned = (y - y.mean(0)) @ space.turn
+    assert np.allclose(np.abs(np.sum(turned[:, :5] * u[:, :5], axis=0)), s[:5], rtol=1e-2)
+    # passages of one topic lie together
+    cos = (turned[:, :5] / np.linalg.norm(turned[:, :5], axis=1, keepdims=True)) @ (turned[:, :5] / np.linalg.norm(turned[:, :5], axis=1, keepdims=True)).T
+    same = np.arange(240)[:, None] % 6 == np.arange(240)[None, :] % 6
+    assert cos[same].min() > cos[~same].max()
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><article>no";</script></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="ad">Buy</div>

@@ -1,22 +1,30 @@
 """Benchmark decontamination by latent semantic retrieval (operator 5).
 
-1. Document frequencies of hashed words (VOCABULARY buckets) over all documents.
-2. A distributed randomised SVD of the TF-IDF passages (PASSAGE words each, unit rows A): every task accumulates its share of
-   A'(A W) for a random W; the sums, VOCABULARY x (RANK + 8) numbers whatever the input, are orthonormalised on the driver.
-3. Search: documents are cut in blocks of BLOCK words. For an item of n words, every run of blocks long enough to hold it at any
-   offset is a passage; passages whose latent cosine with the item reaches the item's threshold are candidates. The threshold
-   is a lower bound over all passages that keep SHARE of the item: the kept words that lie furthest off, and in all other
-   places the worst word that occurs in any document. It is -1 where that bound says nothing.
+1. Document frequencies and counts of hashed words (VOCABULARY buckets) over all documents.
+2. A distributed randomised SVD of the TF-IDF passages (PASSAGE words each, unit rows A): every task forms its rows of Y = A W for a
+   sparse random W with SKETCH columns and adds Y'Y and the row sum; Spark sums SKETCH x SKETCH numbers whatever the input. The
+   eigenvectors of the centred Y'Y give the leading singular directions; a word's latent vector is its row of W on the first RANK
+   of them, less the mean word of the corpus.
+3. Search: documents are cut in blocks of BLOCK words. For an item of n words, every run of blocks long enough to hold a stretch of
+   STRETCH * n words at any offset is a passage; passages whose latent cosine with the item reaches the item's threshold are the
+   candidates, all others are left. An item's threshold comes from DRAWS made-up passages that keep SHARE of its words and have
+   words drawn by the corpus's counts in all other places: the QUANTILE of their cosines if any word is alike likely to be
+   kept, or the least cosine if the 2 * ANSWERS rarest words are kept and the next rarest replaced, whichever is lower.
 4. Candidates are checked word by word: the longest common subsequence, bit-parallel, must reach SHARE of the item, within a
-   stretch of STRETCH times its length, and at least half of the item's answer words (its ANSWERS rarest) must be in it. Order,
-   inflection of punctuation and case, and inserted or replaced words are thus tolerated up to 1 - SHARE. Only passages that
-   can't pass are left out before: those without half of the answer words, or without SHARE of the item's words as a multiset.
+   stretch of STRETCH times its length (an eighth more may pass), and at least ANSWERS of the item's RAREST rarest words must be
+   in it. Order, inflection of punctuation and case, and inserted or replaced words are thus tolerated up to 1 - SHARE.
+   Passages with fewer than SHARE * n words of the item can't pass and are left out before.
+
+A paraphrase that replaces an item's very rarest words too and keeps only what all texts have in common is beyond the cosine; tests
+and README give the shares of paraphrases found.
 
 The items are the stated query set and reach the tasks in blocks of ITEM_BLOCK; each block of items is one pass over all
 documents. Whole texts are searched. Result: one row for each document and item found.
 
 Cases: null or empty texts hold nothing; items without a word are left out; repeated items are reported each under their own id;
-repeated rows of a document give the same (doc_id, item_id) row once. No item or no document: no row. Further columns are ignored.
+repeated rows of a document give the same (doc_id, item_id) row once, rows without a doc_id are reported together under null; of
+several places of one item in a document the one with most common words counts, then the larger cosine, then the first. Texts and
+items of any length are searched whole, in runs of blocks. No item or no document: no row. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,11 +38,12 @@ from pyspark.sql import functions as F
 from .shared import read_table, small
 from .textnum import word_hashes
 
-VOCABULARY, RANK, PASSAGE, BLOCK = 1 << 15, 48, 64, 16
-SLICES, ITEM_BLOCK = 16, 4096
-SHARE, STRETCH, ANSWERS = 0.6, 1.6, 3
-#: bytes of text a task handles at once
-PIECE = 1 << 20
+VOCABULARY, SKETCH, RANK, PASSAGE, BLOCK = 1 << 15, 512, 384, 64, 16
+ITEM_BLOCK = 4096
+SHARE, STRETCH, ANSWERS, RAREST = 0.6, 1.6, 3, 8
+DRAWS, QUANTILE = 256, 0.02
+#: bytes of text a task handles at once; blocks and items that are multiplied at once
+PIECE, RUN, SIDE = 1 << 20, 8192, 256
 
 _BREAK = np.array([not (c >= 128 or chr(c).isalnum()) for c in range(256)])
 
@@ -57,30 +66,44 @@ def bucket(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - VOCABULARY.bit_length() + 1)).astype(np.int64)
 
 
-def _sum_slices(df: DataFrame, dtype: str) -> list:
-    """(k, v) byte arrays summed by k; the driver gets one row a slice."""
+def _sum(df: DataFrame, dtype: str) -> np.ndarray | None:
+    """(v) byte arrays summed; None without a row."""
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"k": pdf.k[:1], "v": [np.sum([np.frombuffer(v, dtype).astype(np.float64) for v in pdf.v], axis=0).tobytes()]})
+        total = np.zeros(len(pdf.v.iloc[0]) // np.dtype(dtype).itemsize)
+        for v in pdf.v:
+            total += np.frombuffer(v, dtype)
+        return pd.DataFrame({"v": [total.tobytes()]})
+
+    # by a few task numbers first, so that no task reads more than some of the partial sums
+    some = df.groupBy(F.pmod(F.spark_partition_id(), F.lit(64)).alias("p")).applyInPandas(add, "v binary")
+    total = None
+    for r in some.toLocalIterator():
+        v = np.frombuffer(r.v)
+        total = v.copy() if total is None else total + v
+    return total
 
-    return sorted(df.groupBy("k").applyInPandas(add, "k int, v binary").collect())
 
+def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int, np.ndarray]:
+    """(documents that hold each bucket, documents, occurrences of each bucket)."""
 
-def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     def run(batches):
-        df, n = np.zeros(VOCABULARY, np.int64), 0
+        df, cf, n = np.zeros(VOCABULARY, np.int64), np.zeros(VOCABULARY, np.int64), 0
         for b in small(batches):
             for _, h, at in sequences(b.column("text").to_pylist()):
                 own = np.repeat(np.arange(len(at) - 1), np.diff(at))
-                pair = np.sort(own * VOCABULARY + bucket(h))
+                word = bucket(h)
+                cf += np.bincount(word, minlength=VOCABULARY)
+                pair = np.sort(own * VOCABULARY + word)
                 pair = pair[np.r_[True, pair[1:] != pair[:-1]]] if len(pair) else pair
                 df += np.bincount(pair % VOCABULARY, minlength=VOCABULARY)
                 n += len(at) - 1
-        yield pa.RecordBatch.from_pydict({"k": pa.array([0], pa.int32()), "v": pa.array([np.append(df, n).astype(np.int64).tobytes()], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"v": pa.array([np.concatenate([df, cf, [n]]).astype(np.int64).tobytes()], pa.binary())})
 
-    rows = _sum_slices(docs.select("text").mapInArrow(run, "k int, v binary"), "<i8")
-    both = np.frombuffer(rows[0].v) if rows else np.zeros(VOCABULARY + 1)
-    return both[:-1], int(both[-1])
+    all_three = _sum(docs.select("text").mapInArrow(run, "v binary"), "<i8")
+    if all_three is None:
+        all_three = np.zeros(2 * VOCABULARY + 1)
+    return all_three[:VOCABULARY], int(all_three[-1]), all_three[VOCABULARY:-1]
 
 
 def _starts(at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,16 +115,41 @@ def _starts(at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return at[:-1][own] + (np.arange(len(own)) - first[own]) * size, own
 
 
-def latent_basis(docs: DataFrame, idf: np.ndarray, seed: int = 11) -> np.ndarray:
-    """VOCABULARY x RANK orthonormal columns that span the leading right singular directions of the passages' TF-IDF."""
-    width = RANK + 8
-    shared = docs.sparkSession.sparkContext.broadcast(idf.astype(np.float32))
+def _places() -> tuple[np.ndarray, np.ndarray]:
+    """The rows of W: two columns of the sketch for each bucket, with signs."""
+    r = np.random.Generator(np.random.PCG64(11))
+    return r.integers(0, SKETCH, (VOCABULARY, 2)), r.integers(0, 2, (VOCABULARY, 2)) * 2.0 - 1
+
+
+def sketched(word: np.ndarray, own: np.ndarray, weight: np.ndarray, rows: int, places) -> np.ndarray:
+    """rows x SKETCH: the sums of the weighted words of each row, times W."""
+    column, sign = places
+    y = np.bincount((own[:, None] * SKETCH + column[word]).ravel(), (weight[:, None] * sign[word]).ravel(), rows * SKETCH)
+    return y.reshape(rows, SKETCH).astype(np.float32)
+
+
+class Space:
+    """Latent coordinates: weight of each bucket, SKETCH x RANK orthonormal map, and the corpus's mean word."""
+
+    def __init__(self, idf: np.ndarray, turn: np.ndarray, counts: np.ndarray):
+        self.idf, self.turn = idf, turn.astype(np.float32)
+        column, sign = _places()
+        share = counts / max(1.0, counts.sum()) * idf
+        self.mean = (np.bincount(column[:, 0], share * sign[:, 0], SKETCH) + np.bincount(column[:, 1], share * sign[:, 1], SKETCH)).astype(np.float32) @ self.turn
+
+    def words(self, word: np.ndarray) -> np.ndarray:
+        column, sign = _places()
+        w = (self.turn[column[word, 0]] * sign[word, 0, None] + self.turn[column[word, 1]] * sign[word, 1, None]) * self.idf[word, None]
+        return (w - self.mean).astype(np.float32)
+
+
+def latent_space(docs: DataFrame, idf: np.ndarray, counts: np.ndarray) -> Space:
+    """The leading singular directions of the passages' centred, sketched TF-IDF."""
+    shared = docs.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches):
-        weight = shared.value
-        omega = np.random.Generator(np.random.PCG64(seed)).standard_normal((VOCABULARY, width), dtype=np.float32)
-        scaled = omega * weight[:, None]
-        y = np.zeros((VOCABULARY, width), np.float32)
+        weight, places = shared.value, _places()
+        gram, total, n = np.zeros((SKETCH, SKETCH)), np.zeros(SKETCH), 0
         for b in small(batches):
             for _, h, at in sequences(b.column("text").to_pylist()):
                 if not len(h):
@@ -109,128 +157,147 @@ def latent_basis(docs: DataFrame, idf: np.ndarray, seed: int = 11) -> np.ndarray
                 word = bucket(h)
                 start, _ = _starts(at, PASSAGE)
                 size = np.diff(np.append(start, len(word)))
-                square = np.add.reduceat(weight[word] ** 2, start)
-                row = np.add.reduceat(scaled[word], start) / np.maximum(square, 1e-9)[:, None]
-                order = np.argsort(word, kind="stable")
-                own = np.repeat(np.arange(len(start)), size)[order]
-                kinds = word[order]
-                edge = np.flatnonzero(np.r_[True, kinds[1:] != kinds[:-1]])
-                y[kinds[edge]] += np.add.reduceat(row[own], edge) * weight[kinds[edge], None]
-        for k, part in enumerate(np.split(y, SLICES)):
-            yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int32()), "v": pa.array([part.tobytes()], pa.binary())})
-
-    rows = _sum_slices(docs.select("text").mapInArrow(run, "k int, v binary"), "<f4")
-    if not rows:
-        return np.eye(VOCABULARY, RANK, dtype=np.float32)
-    y = np.concatenate([np.frombuffer(r.v).reshape(-1, width) for r in rows])
-    u, _, _ = np.linalg.svd(y, full_matrices=False)
-    return u[:, :RANK].astype(np.float32)
+                w = weight[word]
+                length = np.sqrt(np.maximum(np.add.reduceat(w * w, start), 1e-12))
+                for a in range(0, len(start), RUN):
+                    z = min(len(start), a + RUN)
+                    mine = slice(start[a], start[z] if z < len(start) else len(word))
+                    own = np.repeat(np.arange(z - a), size[a:z])
+                    y = sketched(word[mine], own, w[mine] / length[a:z][own], z - a, places)
+                    gram += y.T @ y
+                    total += y.sum(0, dtype=np.float64)
+                    n += z - a
+        yield pa.RecordBatch.from_pydict({"v": pa.array([np.concatenate([gram.ravel(), total, [n]]).astype(np.float32).tobytes()], pa.binary())})
+
+    both = _sum(docs.select("text").mapInArrow(run, "v binary"), "<f4")
+    if both is None or not both[-1]:
+        return Space(idf, np.zeros((SKETCH, 0)), counts)
+    gram, total = both[: SKETCH * SKETCH].reshape(SKETCH, SKETCH), both[SKETCH * SKETCH : -1]
+    value, vector = np.linalg.eigh(gram - np.outer(total, total) / both[-1])
+    value, vector = value[::-1][:RANK], vector[:, ::-1][:, :RANK]
+    some = value > 1e-5 * max(value[0], 1e-9)
+    return Space(idf, vector[:, some], counts)
 
 
 def lcs_within(item: list[int], words: list[int], stretch: int) -> tuple[int, int, int]:
     """(length, start, end) of the longest common subsequence of item with a stretch of words no longer than stretch.
 
-    Bit-parallel over the item; the stretch slides by a quarter of its length."""
+    Bit-parallel over the item; windows of an eighth more slide by that eighth, so that each such stretch lies in one whole."""
     where: dict[int, int] = {}
     for k, w in enumerate(item):
         where[w] = where.get(w, 0) | 1 << k
     full = (1 << len(item)) - 1
     best = (0, 0, 0)
-    step = max(1, stretch // 4)
-    for a in range(0, max(1, len(words) - stretch + step), step):
+    step = max(1, stretch // 8)
+    wide = stretch + step - 1
+    for a in range(0, max(1, len(words) - wide + step), step):
         v = full
-        for w in words[a : a + stretch]:
+        for w in words[a : a + wide]:
             m = where.get(w)
             if m:
                 u = v & m
                 v = (v + u) | (v - u)
         n = len(item) - (v & full).bit_count()
         if n > best[0]:
-            best = (n, a, min(len(words), a + stretch))
+            best = (n, a, min(len(words), a + wide))
     return best
 
 
 class Items:
     """One block of benchmark items, ready for the search; small: RANK numbers and a few words for each."""
 
-    def __init__(self, ids: list[int], words: list[np.ndarray], idf: np.ndarray, basis: np.ndarray, occurs: np.ndarray):
-        self.ids, self.words = ids, words
-        self.blocks = np.array([-(-(len(w) + BLOCK - 1) // BLOCK) for w in words])
-        weight = [idf[bucket(w)] for w in words]
-        raw = np.stack([(basis[bucket(w)] * g[:, None].astype(np.float32)).sum(0) for w, g in zip(words, weight)])
+    def __init__(self, ids: list[int], words: list[np.ndarray], space: Space, counts: np.ndarray):
+        self.ids, self.words, self.space = ids, words, space
+        n = np.array([len(w) for w in words])
+        self.blocks = -(-((STRETCH * n).astype(np.int64) + 1 + BLOCK - 1) // BLOCK)
+        self.need = np.ceil(SHARE * n - 1e-9).astype(np.int64)
+        vectors = [space.words(bucket(w)) for w in words]
+        raw = np.stack([v.sum(0) for v in vectors])
         self.vector = raw / np.maximum(np.linalg.norm(raw, axis=1, keepdims=True), 1e-9)
-        # the least cosine of a passage that keeps SHARE of the item; occurs: the buckets that any document holds
-        rest = basis[occurs] * idf[occurs, None].astype(np.float32)
-        longest = float(np.linalg.norm(rest, axis=1).max(initial=0))
-        self.threshold = np.full(len(ids), -1.0, np.float32)
-        for k, (w, g) in enumerate(zip(words, weight)):
-            kept = basis[bucket(w)] * g[:, None].astype(np.float32)
-            need = -int(-SHARE * len(w) // 1)
-            other = self.blocks[k] * BLOCK - need
-            least = np.sort(kept @ self.vector[k])[:need].sum() + other * min(0.0, float((rest @ self.vector[k]).min(initial=0)))
-            if least > 0:
-                most = np.sort(np.linalg.norm(kept, axis=1))[-need:].sum() + other * longest
-                self.threshold[k] = least / most - 1e-3
-        self.answers = [set(w[np.argsort(-g, kind="stable")].tolist()[: 4 * ANSWERS]) and set(list(dict.fromkeys(w[np.argsort(-g, kind="stable")].tolist()))[:ANSWERS]) for w, g in zip(words, weight)]
+        self.threshold = self._thresholds(vectors, counts)
+        weight = [space.idf[bucket(w)] for w in words]
+        self.answers = [set(list(dict.fromkeys(w[np.argsort(-g, kind="stable")].tolist()))[:RAREST]) for w, g in zip(words, weight)]
         self.lists = [w.tolist() for w in words]
-        # answer words, sorted: of each its place among its item's, and the item
-        said = sorted((h, k, 1 << j) for k, own in enumerate(self.answers) for j, h in enumerate(sorted(own)))
-        self.said_of, self.said_bit = (np.array([x[c] for x in said], np.int64) for c in (1, 2))
-        self.keys, self.first = np.unique(np.array([x[0] for x in said], np.uint64), return_index=True)
-        self.many = np.diff(np.append(self.first, len(said)))
-        self.enough = np.array([-(-len(own) // 2) for own in self.answers])
-        self.kinds = [np.unique(w, return_counts=True) for w in words]
-
-    def _answered(self, h: np.ndarray, start: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item, block) of the passages that hold at least half of the item's answer words; begin: the first block of each block's text."""
-        where = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        hits = np.flatnonzero(self.keys[where] == h)
-        many = self.many[where[hits]]
-        place = np.repeat(self.first[where[hits]] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-        item, bit = self.said_of[place], self.said_bit[place]
-        block = np.repeat(np.searchsorted(start, hits, side="right") - 1, many)
-        # every passage that the word's block lies in
-        wide = self.blocks[item]
-        back = np.arange(wide.sum()) - np.repeat(np.cumsum(wide) - wide, wide)
-        item, bit, block = np.repeat(item, wide), np.repeat(bit, wide), np.repeat(block, wide)
-        inside = block - back >= begin[block]
-        key = (item * len(start) + block - back)[inside]
-        if not len(key):
-            return key, key
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        held = np.bitwise_count(np.bitwise_or.reduceat(bit[inside][order], edge))
-        item, block = np.divmod(key[edge], len(start))
-        some = held >= self.enough[item]
-        return item[some], block[some]
-
-    def search(self, h: np.ndarray, at: np.ndarray, weighted: np.ndarray):
-        """Yields (text, item, common words, cosine, start, end) of what a run of texts holds; weighted: basis rows times idf."""
+        self.kinds = [np.unique(w) for w in words]
+
+    def _thresholds(self, vectors: list[np.ndarray], counts: np.ndarray) -> np.ndarray:
+        out = np.full(len(vectors), -1.0, np.float32)
+        if not self.vector.shape[1] or not counts.sum():
+            return out
+        r = np.random.Generator(np.random.PCG64(17))
+        upto = np.cumsum(counts / counts.sum())
+        around, drawn = np.zeros((DRAWS, self.vector.shape[1]), np.float32), 0
+        other = self.blocks * BLOCK - self.need
+        for k in np.argsort(other, kind="stable").tolist():
+            while drawn < other[k]:  # the words in all other places, one more of each made-up passage at a time
+                around += self.space.words(np.minimum(np.searchsorted(upto, r.random(DRAWS)), len(upto) - 1))
+                drawn += 1
+            n = len(vectors[k])
+            keep = (np.argsort(r.random((DRAWS, n)), axis=1) < self.need[k]).astype(np.float32)
+            v = keep @ vectors[k] + around
+            rare = np.argsort(-self.space.idf[bucket(self.words[k])], kind="stable")
+            first = min(2 * ANSWERS, self.need[k])
+            worst = np.r_[rare[:first], rare[n - (self.need[k] - first) :]]
+            cosine, least = (x @ self.vector[k] / np.maximum(np.linalg.norm(x, axis=1), 1e-9) for x in (v, vectors[k][worst].sum(0) + around))
+            out[k] = min(np.quantile(cosine, QUANTILE), least.min())
+        return out
+
+    def candidates(self, h: np.ndarray, at: np.ndarray, places):
+        """Yields (item, first block, cosine, first word, end) arrays of the passages whose cosine reaches the item's threshold."""
+        start, own = _starts(at, BLOCK)
+        edge = np.append(start, len(h))
+        last_block = np.cumsum(np.bincount(own, minlength=len(at) - 1))[own]  # where each block's text ends
+        first_block = np.r_[True, own[1:] != own[:-1]]
+        word = bucket(h)
+        weight = self.space.idf[word]
+        size = np.diff(edge)
+        most = int(self.blocks.max())
+        for a in range(0, len(start), RUN):
+            z, far = min(len(start), a + RUN), min(len(start), a + RUN + most)
+            mine = slice(edge[a], edge[far])
+            block = np.repeat(np.arange(far - a), size[a:far])
+            latent = sketched(word[mine], block, weight[mine], far - a, places) @ self.space.turn - size[a:far, None] * self.space.mean
+            upto = np.zeros((far - a + 1, latent.shape[1]), np.float32)
+            np.cumsum(latent, axis=0, out=upto[1:])
+            for wide in np.unique(self.blocks).tolist():
+                here = np.arange(a, z)
+                # a passage that its text's end cuts is part of one before, but for the text's first
+                here = here[(here + wide <= last_block[a:z]) | first_block[a:z]]
+                end = np.minimum(here + wide, last_block[here])
+                v = upto[end - a] - upto[here - a]
+                v /= np.sqrt(np.maximum(np.einsum("ij,ij->i", v, v), 1e-18))[:, None]
+                which = np.flatnonzero(self.blocks == wide)
+                for k in range(0, len(which), SIDE):
+                    items = which[k : k + SIDE]
+                    cosine = v @ self.vector[items].T
+                    row, item = np.nonzero(cosine >= self.threshold[items])
+                    order = np.argsort(item, kind="stable")
+                    row, item = row[order], item[order]
+                    for part in np.split(np.arange(len(item)), np.flatnonzero(np.diff(item)) + 1):
+                        if len(part):
+                            yield items[item[part[0]]], here[row[part]], cosine[row[part], item[part[0]]], edge[here[row[part]]], edge[end[row[part]]]
+
+    def search(self, h: np.ndarray, at: np.ndarray, places):
+        """Yields (text, item, common words, cosine, start, end) of what a run of texts holds."""
         if not len(h):
             return
-        start, own = _starts(at, BLOCK)
-        upto = np.concatenate([[0], np.cumsum(np.bincount(own, minlength=len(at) - 1))])  # blocks of each text
-        for k, bb in zip(*(x.tolist() for x in self._answered(h, start, upto[own]))):
-            text = own[bb]
-            last = min(bb + self.blocks[k], upto[text + 1])
-            end = int(start[last]) if last < upto[text + 1] else int(at[text + 1])
-            passage = h[start[bb] : end]
-            item = self.lists[k]
-            kinds, times = self.kinds[k]
-            place = np.minimum(np.searchsorted(kinds, passage), len(kinds) - 1)
-            both = np.minimum(np.bincount(place[kinds[place] == passage], minlength=len(kinds)), times).sum()
-            if both < SHARE * len(item):
-                continue
-            vector = weighted[bucket(passage)].sum(0)
-            c = float(vector @ self.vector[k] / max(np.linalg.norm(vector), 1e-9))
-            if c < self.threshold[k]:
-                continue
-            common, a, z = lcs_within(item, passage.tolist(), int(STRETCH * len(item)) + 2)
-            if common >= SHARE * len(item):
-                there = set(passage[a:z].tolist())
-                if 2 * sum(w in there for w in self.answers[k]) >= len(self.answers[k]):
-                    yield int(text), k, common, c, int(start[bb] - at[text]) + a, int(start[bb] - at[text]) + z
+        _, own = _starts(at, BLOCK)
+        for k, block, cosine, first, end in self.candidates(h, at, places):
+            kinds, item = self.kinds[k], self.lists[k]
+            index = first[:, None] + np.arange(int((end - first).max()))
+            inside = index < end[:, None]
+            passage = h[np.minimum(index, len(h) - 1)]
+            held = (kinds[np.minimum(np.searchsorted(kinds, passage), len(kinds) - 1)] == passage) & inside
+            for x in np.flatnonzero(held.sum(1) >= self.need[k]).tolist():
+                text, begin = own[block[x]], first[x] - at[own[block[x]]]
+                words = h[first[x] : end[x]].tolist()
+                enough = min(ANSWERS, -(-len(self.answers[k]) // 2))
+                if len(self.answers[k].intersection(words)) < enough:
+                    continue
+                common, a, z = lcs_within(item, words, int(STRETCH * len(item)) + 1)
+                if common >= self.need[k]:
+                    if len(self.answers[k].intersection(words[a:z])) >= enough:
+                        yield int(text), int(k), common, float(cosine[x]), int(begin) + a, int(begin) + z
 
 
 SCHEMA = "doc_id long, item_id long, common_words long, item_words long, cosine double, start_word long, end_word long"
@@ -240,11 +307,8 @@ def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, text; item_id, text -> one row for each document and item that it holds."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    df, n = document_frequencies(docs)
-    idf = np.log((n + 1) / (df + 1)) + 1e-3
-    basis = latent_basis(docs, idf)
-    occurs = np.flatnonzero(df)
-    model = spark.sparkContext.broadcast((idf, basis))
+    df, n, counts = document_frequencies(docs)
+    space = latent_space(docs, np.log((n + 1) / (df + 1)) + 1e-3, counts)
     found = None
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
 
@@ -258,16 +322,15 @@ def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     words.append(h[at[k] : at[k + 1]])
         if not ids:
             return None
-        these = spark.sparkContext.broadcast(Items(ids, words, idf, basis, occurs))
+        these = spark.sparkContext.broadcast(Items(ids, words, space, counts))
 
         def run(batches):
-            own, (w, v) = these.value, model.value
-            weighted = v * w[:, None].astype(np.float32)
+            own, places = these.value, _places()
             for b in small(batches):
                 doc = b.column("doc_id").to_pylist()
                 best: dict[tuple, tuple] = {}
                 for a, h, at in sequences(b.column("text").to_pylist()):
-                    for text, k, common, c, s, e in own.search(h, at, weighted):
+                    for text, k, common, c, s, e in own.search(h, at, places):
                         key = (doc[a + text], own.ids[k])
                         value = (common, round(c, 4), -s, e, len(own.lists[k]))
                         if value > best.get(key, (0,)):
