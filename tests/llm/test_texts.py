@@ -141,6 +141,52 @@ def test_added_spans_and_odd_rows(spark, odd):
     assert pii.redact_table(odd).columns == odd.columns
 
 
+def test_planted_personal_data_is_found(documents):
+    """Spans of forms that the made-up passages don't have, put in real documents: precision and recall of what the trees add."""
+    r = random.Random(12)
+    d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    hexes = lambda k: "".join(r.choice("0123456789abcdef") for _ in range(k))
+    forms = [
+        lambda: ("e-mail ", f"kim{d(2)}.larsen (at) post{d(1)} (dot) example (dot) org"), lambda: ("mail: ", f"office [at] shop-{d(2)}.example.com"), lambda: ("call ", f"0{d(2)}-{d(3)}-{d(4)}"), lambda: ("Telefon ", f"0049 {d(3)} {d(3)} {d(4)}"),
+        lambda: ('token = "', hexes(40)), lambda: ("api_key: ", hexes(32).upper()), lambda: ("password: ", f"Tiger{d(3)}!{hexes(4)}"), lambda: ("host ", ":".join(hexes(4) for _ in range(8))), lambda: ("SSN ", f"{r.randint(100, 700)}-{r.randint(10, 99)}-{d(4)}"),
+    ]
+    texts = [t for t in (x.text for x in documents.select("text").orderBy("doc_id").limit(600).collect()) if t and "token" not in t.lower()]
+    plain = pii.all_spans(texts)
+    wrong = sum(len(every) - len(base) for base, every in plain)
+    planted, truth = [], []
+    for t in texts:
+        words = t.split(" ")
+        at = r.randrange(len(words) + 1)
+        cue, span = r.choice(forms)()
+        head = " ".join([*words[:at], cue])
+        planted.append(head + span + ("\" " if cue.endswith('"') else " ") + " ".join(words[at:]))
+        truth.append((len(head), len(head) + len(span)))
+    hits = sum(any(s <= a and z <= e or s < z and a < e and e - s >= 0.8 * (z - a) for _, s, e in every) for (_, every), (a, z) in zip(pii.all_spans(planted), truth))
+    assert hits / len(truth) >= 0.9 and wrong <= 0.02 * len(texts), (hits, len(truth), wrong)
+
+
+def test_selection_equals_brute_force():
+    """Of all candidates that reach their threshold, the best free one again and again; base spans stay, what lies within one is left."""
+    texts = ["mail ann@a.example.com, token = \"9f86d081884c7d659a2feaa0c55ad015a3bf4f1b\" tel. 030/123 4567", "card 4111 1111 1111 1111 0000 x", "call +1 (826) 555-4081 190.137.223.204, IBAN DE89 3704 0044 0532 0130 00", "password: hunter2222 write to joe at mail dot example dot com"]
+    trees, curve, threshold = fitted = pii.model()
+    for t, (base, every) in zip(texts, pii.all_spans(texts, fitted)):
+        assert base == pii.base_spans(t)
+        pool = []
+        for k, s, e in pii.candidates(t):
+            if not any(bs <= s and e <= be for _, bs, be in base):
+                touches = any(s < be and bs < e for _, bs, be in base)
+                q = float(pii.calibrated(curve, trees.score(np.array([pii.describe(t, k, s, e, touches)], float)))[0])
+                if q >= threshold[k]:
+                    pool.append((-q, s, pii.KINDS.index(k), e))
+        chosen = []
+        while pool:
+            best = min(pool)
+            chosen.append((pii.KINDS[best[2]], best[1], best[3]))
+            pool = [x for x in pool if x[3] <= best[1] or best[3] <= x[1]]
+        assert every == sorted(base + chosen, key=lambda v: (v[1], pii.KINDS.index(v[0]), v[2]))
+    assert sum(len(e) - len(b) for b, e in pii.all_spans(texts, fitted)) >= 4
+
+
 @pytest.mark.parametrize("address", ["JOE.DOE (AT) EXAMPLE (DOT) COM", "Joe.Doe[AT]example[DOT]com", "joe.doe At example Dot com", "joe.doe (at) example (dot) com"])
 def test_spelled_out_addresses_of_any_case(address):
     text = f"WRITE TO {address}"

@@ -1,28 +1,34 @@
 """Personal data by candidate gradient boosting (operator 7).
 
 High-recall generators propose overlapping spans: e-mail addresses (also written with "at" and "dot"), dotted and colon network
-addresses, card-like and phone-like digit groups with any separators, account and identity numbers. Boosted trees score each
-candidate by its format (digits, separators, checksums, group lengths) and by its context (cue words before it, what touches
-it); a calibrated threshold for each kind selects spans. Spans of the base rules always stay; a scored span is added only where
-it overlaps no base span, the better score first.
-
-The trees are fitted here, on TRAINING generated candidates with known labels from a fixed seed (a bounded sample that doesn't
-depend on the corpus); half of them calibrate: scores pass through isotonic regression, and a kind's threshold is the least one
-whose precision on that half reaches PRECISION.
+addresses, card-like and phone-like digit groups with any separators, account and identity numbers, and secrets (long tokens, and
+what is assigned to a key word). Boosted trees score each candidate by its format (digits, separators, checksums, group lengths,
+entropy, kinds of characters) and by its context (cue words before it, what touches it, whether it holds a base span); a
+calibrated threshold for each kind selects spans, the better score first. Spans of the base rules always stay; a scored span may
+extend over one, but one within a base span adds nothing and is left out.
+
+The trees are fitted here, on TRAINING made-up passages from a fixed seed (a bounded sample that doesn't depend on the corpus).
+What is in a passage says the label: a person's or an account's data, or a decoy of like format (orders, dates, versions,
+commits, file names, measures); cues and contexts are drawn for both with other odds, so no feature repeats the label. Half of
+the passages calibrate: scores pass through isotonic regression, and a kind's threshold is the least one whose precision on that
+half reaches PRECISION.
 
 Base rules, leftmost and non-overlapping for each kind: e-mail, ip (parts at most 255), card (12 to 19 digits that pass the Luhn
 check), phone (a plus sign and 9 to 15 digits). Their patterns are run in time linear in the text: e-mails are grown from each
 at sign, and no match starts inside a digit run.
 
-Cases: null or empty text has no span. Positions are code points, ends exclusive. Texts of any length are scanned whole.
-Repeated rows are scanned each for themselves; further columns are ignored.
+Cases: null or empty text has no span. A null doc_id is kept as it is. Positions are code points, ends exclusive. Texts of any
+length are scanned whole. Ties: of overlapping candidates with one score the first by start, then by kind as listed, then the
+shorter. Repeated rows are scanned each for themselves; further columns are ignored. An empty table gives no row.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -32,8 +38,8 @@ from pyspark.sql import functions as F
 
 from .shared import read_table, small
 
-KINDS = ("email", "ip", "card", "phone", "account")
-TRAINING, PRECISION = 6000, 0.995
+KINDS = ("email", "ip", "card", "phone", "account", "secret")
+TRAINING, PRECISION = 8000, 0.98
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -93,8 +99,10 @@ _GENERATORS = (
     ("phone", re.compile(r"(?<![\w.])(?:00|\+)?[(]?[0-9]{1,4}[)]?(?:[ ./-]{1,2}[(]?[0-9]{2,4}[)]?){2,4}(?!\w)")),
     ("account", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
     ("account", re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")),
+    ("secret", re.compile(r"(?<![\w+/=-])(?=[\w+/-]{0,40}?[0-9])[A-Za-z0-9_][A-Za-z0-9_+/-]{15,}={0,2}(?![\w+/=-])")),
+    ("secret", re.compile(r"(?:token|secret|passw(?:or)?d|pwd|passwort|contraseña|mot de passe|key|credential)[\"']?\s{0,3}(?:=|:|is|ist|es|est)\s{0,3}[\"']?(?P<v>[^\s\"',;]{6,200})", re.I)),
 )
-_PREFILTER = re.compile(r"[0-9@]|[(\[ ]at[)\] ]", re.I)
+_PREFILTER = re.compile(r"[0-9@]|[(\[ ]at[)\] ]|token|secret|passw|pwd|contrase|mot de passe|key|credential", re.I)
 _AT = re.compile(r"@| at |at\)|at\]", re.I)
 _CUES = {
     "email": re.compile(r"mail|contact|write|reach", re.I),
@@ -102,8 +110,9 @@ _CUES = {
     "card": re.compile(r"card|visa|master|credit|debit|karte|tarjeta|carte", re.I),
     "phone": re.compile(r"phone|tel|call|mobile|fax|contact|telefon|tél", re.I),
     "account": re.compile(r"iban|account|ssn|social|konto|cuenta|compte|tax id", re.I),
+    "secret": re.compile(r"token|secret|passw|pwd|key|credential|bearer|auth", re.I),
 }
-_AGAINST = re.compile(r"order|invoice|version|isbn|date|page|ref|serial|token|hash|commit|build|part no|line", re.I)
+_AGAINST = re.compile(r"order|invoice|version|isbn|date|page|ref|serial|hash|commit|build|part no|line|file|image|sha", re.I)
 
 
 def mod97(s: str) -> bool:
@@ -114,15 +123,23 @@ def mod97(s: str) -> bool:
         return False
 
 
-def describe(text: str, kind: str, s: int, e: int) -> list[float]:
+def entropy(s: str) -> float:
+    """Bits for each character."""
+    return -sum(n / len(s) * math.log2(n / len(s)) for n in Counter(s).values())
+
+
+def describe(text: str, kind: str, s: int, e: int, holds_base: bool = False) -> list[float]:
     span, before, after = text[s:e], text[max(0, s - 40) : s], text[e : e + 12]
     d = digits(span)
     groups = [len(g) for g in re.findall(r"[0-9]+", span)]
+    last = re.split(r"[^A-Za-z0-9]+", span)[-1]
     return [
         KINDS.index(kind), len(span), len(d), len(groups), max(groups, default=0), min(groups, default=0), len(set(d)),
         float(12 <= len(d) <= 19 and luhn(d)), float(kind == "account" and span[:1].isalpha() and mod97(span)), float(span[:1] == "+" or span[:2] == "00"), float("(" in span), span.count("-"), span.count("."), span.count(" "), span.count("/"),
         float("@" in span), float(bool(re.search(r"[(\[]", span))), float(bool(_CUES[kind].search(before))), float(any(c.search(before) for k, c in _CUES.items() if k != kind)), float(bool(_AGAINST.search(before))),
         float(after[:1].isalnum()), float(before[-1:].isalnum()), sum(c.isdigit() for c in before), sum(c.isdigit() for c in after), sum(c.isalpha() for c in span), float(d.startswith("0")), float(bool(re.match(r"(19|20)[0-9]{2}", d))),
+        entropy(span), sum(c in "0123456789abcdefABCDEF" for c in span) / len(span), sum(c.isupper() for c in span) / len(span), sum(c in "aeiouAEIOU" for c in span) / len(span), span.count("_"), float(bool(re.search(r"[=:]\s*[\"']?$", before))), float(before[-1:] in ("\"", "'") and after[:1] == before[-1:]), float(holds_base),
+        float(bool(re.search(r"\.\s", span))), len(last), float(last.islower()), float(bool(re.search(r"[(\[]? ?(?:dot|at) ?[)\]]", span, re.I))), float(bool(re.search(r"[a-z] ?\. ?[a-z]", span))),
     ]
 
 
@@ -130,7 +147,11 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     if not _PREFILTER.search(text):
         return []
     has_digit, has_at = bool(re.search(r"[0-9]", text)), bool(_AT.search(text))
-    return sorted({(kind, m.start(), m.end()) for kind, g in _GENERATORS if kind == "email" and has_at or kind != "email" and has_digit for m in g.finditer(text)}, key=lambda c: (c[1], c[2], c[0]))
+    found = set()
+    for kind, g in _GENERATORS:
+        if has_at if kind == "email" else has_digit or "v" in g.groupindex:
+            found.update((kind, *m.span("v" if "v" in g.groupindex else 0)) for m in g.finditer(text))
+    return sorted(found, key=lambda c: (c[1], c[2], c[0]))
 
 
 # ---- boosted trees ----------------------------------------------------------------------------------------------------
@@ -212,44 +233,64 @@ def isotonic(f: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([b[2] for b in blocks]), np.array([b[0] / b[1] for b in blocks])
 
 
+_CUE_WORDS = {
+    "email": ["mail:", "contact", "write to", "e-mail", "reach us at"], "ip": ["server", "host", "ip address", "login from", "ip"], "card": ["card", "visa", "credit card no.", "Karte", "paid with"],
+    "phone": ["call", "tel.", "phone:", "mobile", "Telefon", "fax"], "account": ["IBAN", "account", "SSN", "Konto", "social security"], "secret": ["token =", "api_key:", "password:", "secret =", "auth token", "key ="],
+}
+_DECOY_CUES = ["order", "invoice no.", "version", "ref", "serial", "page", "date", "commit", "sha", "file", "isbn", "build", "line", "image"]
+
+
 def _generated(rng: random.Random) -> tuple[str, str, int, int, int]:
-    """(text, kind, start, end, label) of one made candidate."""
+    """(text, kind, start, end, label) of one made-up passage; the label says what was put in."""
     n = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
-    word = lambda: "".join(rng.choice("aeiourstlnm") for _ in range(rng.randint(2, 8)))
+    word = lambda: "".join(rng.choice("aeiourstlnmdgbk") for _ in range(rng.randint(2, 8)))
+    some = lambda letters, a, z: "".join(rng.choice(letters) for _ in range(rng.randint(a, z)))
     sep = rng.choice(["-", " ", ".", "/"])
     kind = rng.choice(KINDS)
     good = rng.random() < 0.5
-    cue = {"email": ["mail:", "contact", "write to"], "ip": ["server", "host", "ip address"], "card": ["card", "visa", "credit card no."], "phone": ["call", "tel.", "phone:", "mobile"], "account": ["IBAN", "account", "SSN"]}[kind]
-    other = rng.choice(["order", "invoice", "version", "ref", "serial", "page", "date", word(), word()])
     if kind == "email":
-        at, dot = rng.choice([("@", "."), (" at ", " dot "), ("(at)", "(dot)"), (" [at] ", " [dot] ")])
-        span = f"{word()}{rng.choice(['.', '', '_'])}{word()}{at}{word()}{dot}{rng.choice(['com', 'org', 'net', 'de', 'fr'])}" if good else f"{word()} at {word()}{rng.choice([' dot ', '. ', '.'])}{word()}"
-        good = good and (at != " at " or dot == " dot ")
+        at, dot = rng.choice([("@", "."), (" at ", " dot "), ("(at)", "(dot)"), (" [at] ", " [dot] "), ("[at]", "."), (" (at) ", ".")])
+        if good:
+            span = f"{word()}{rng.choice(['.', '', '_'])}{word()}{at}{word()}{rng.choice(['', '-' + word(), n(1)])}{dot}{rng.choice(['com', 'org', 'net', 'de', 'fr', 'es', 'io'])}"
+        else:
+            span = f"{word()} at {word()}" + "".join(rng.choice([". ", ". ", "."]) + rng.choice([word(), word().capitalize()]) for _ in range(rng.randint(1, 3)))
     elif kind == "ip":
-        span = ":".join(f"{rng.randrange(65536):x}" for _ in range(8)) if good else ":".join(n(2) for _ in range(rng.randint(4, 6)))
+        if good:
+            span = rng.choice([":".join(f"{rng.randrange(65536):x}" for _ in range(8)), f"fe80::{rng.randrange(65536):x}:{rng.randrange(65536):x}", f"2001:{rng.randrange(65536):x}:{rng.randrange(65536):x}::{rng.randrange(256):x}"])
+        else:
+            span = rng.choice([":".join(n(2) for _ in range(rng.randint(4, 6))), ":".join(n(1) for _ in range(4)), ":".join(f"{rng.randrange(16):x}" for _ in range(5))])
     elif kind == "card":
-        d = n(15)
+        d = rng.choice("3456") + n(14)
         d += next(c for c in "0123456789" if luhn(d + c))
         if not good:
-            d = d[:-1] + str((int(d[-1]) + rng.randint(1, 9)) % 10)
-        span = sep.join(d[k : k + 4] for k in range(0, 16, 4))
+            d = rng.choice([n(16), n(12), f"{rng.randint(1900, 2099)}{n(8)}"])
+        span = sep.join(d[k : k + 4] for k in range(0, len(d), 4))
     elif kind == "phone":
         if good:
-            span = rng.choice([f"({n(3)}) {n(3)}-{n(4)}", f"00{n(2)} {n(3)} {n(3)} {n(3)}", f"{n(3)}-{n(3)}-{n(4)}", f"0{n(3)}/{n(3)} {n(4)}", f"0{n(1)} {n(2)} {n(2)} {n(2)} {n(2)}"])
+            span = rng.choice([f"({n(3)}) {n(3)}-{n(4)}", f"00{n(2)} {n(3)} {n(3)} {n(3)}", f"{n(3)}-{n(3)}-{n(4)}", f"0{n(3)}/{n(3)} {n(4)}", f"0{n(1)} {n(2)} {n(2)} {n(2)} {n(2)}", f"{n(3)}.{n(3)}.{n(4)}"])
         else:
-            span = rng.choice([f"{rng.randint(1900, 2099)}-{n(2)}-{n(2)}", f"{n(2)}.{n(2)}.{rng.randint(1900, 2099)}", f"{n(1)}.{n(2)}.{n(3)}", f"{n(4)} {n(4)} {n(4)}", f"{n(3)} {n(2)} {n(4)}"])
-    else:
-        body = "".join(rng.choice("0123456789") for _ in range(18))
+            span = rng.choice([f"{rng.randint(1900, 2099)}-{n(2)}-{n(2)}", f"{n(2)}.{n(2)}.{rng.randint(1900, 2099)}", f"{n(1)}.{n(2)}.{n(3)}", f"{n(4)} {n(4)} {n(4)}", f"{n(3)} {n(2)} {n(4)}", f"{n(1)}-{n(3)}-{n(4)}-{n(1)}", f"{n(2)}/{n(2)}/{n(4)}"])
+    elif kind == "account":
+        body = n(18)
         check = next(f"{k:02d}" for k in range(2, 99) if mod97(f"DE{k:02d}{body}"))
-        ok = rng.random() < 0.5
-        span = (f"DE{check}{body}" if ok else f"{rng.randint(100, 772):03d}-{rng.randint(1, 99):02d}-{n(4)}") if good else (f"DE{(int(check) + rng.randint(1, 50)) % 90:02d}{body}" if ok else f"{n(3)}-{n(2)}-{n(4)}")
-        if not good and mod97(span):
-            good = True
-    cued = rng.random() < (0.85 if good else 0.1)
-    before = f"{word()} {word()}, {rng.choice(cue) if cued else other} "
-    if kind in ("phone", "account") and good and not cued and not span.startswith(("(", "00", "DE")):
-        good = False
-    return f"{before}{span} {word()} {word()}.", kind, len(before), len(before) + len(span), int(good)
+        if good:
+            iban = f"DE{check}{body}"
+            span = rng.choice([iban, " ".join(iban[k : k + 4] for k in range(0, len(iban), 4)), f"{rng.randint(100, 772):03d}-{rng.randint(1, 99):02d}-{n(4)}"])
+        else:
+            span = rng.choice([f"{rng.choice(['PN', 'EN', 'IS', 'XR'])}{n(2)}{n(12)}", f"{rng.choice(['QT', 'LK'])}{n(2)}{n(8)}", f"{n(3)}-{n(2)}-{n(4)}", f"{rng.choice(['AB', 'QX'])}{n(2)} {n(4)} {n(4)}"])
+    elif good:
+        alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+        span = rng.choice([some("0123456789abcdef", 32, 64), some(alphabet, 20, 48), f"AKIA{some('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 16, 16)}", f"ghp_{some(alphabet, 36, 36)}", f"sk-{some(alphabet, 32, 48)}", some(alphabet + "+/", 38, 42) + "==", word().capitalize() + n(3) + rng.choice("!?#$") + word()])
+    else:
+        span = rng.choice([f"{word()}_{word()}_{word()}_{n(4)}", f"{word()}-{word()}-{word()}-{n(2)}", f"{word()}/{word()}/{word()}/{n(4)}", some("0123456789abcdef", 40, 40), n(rng.randint(16, 24)), f"IMG_{n(8)}_{n(6)}", word() + word() + n(2) + word()])
+    cue = rng.random()
+    if good:
+        lead = rng.choice(_CUE_WORDS[kind]) if cue < 0.8 else word() if cue < 0.97 else rng.choice(_DECOY_CUES)
+    else:
+        lead = rng.choice(_DECOY_CUES) if cue < 0.5 else word() if cue < 0.95 else rng.choice(_CUE_WORDS[kind])
+    quote = rng.choice(["", "", '"', "'"]) if kind == "secret" else ""
+    before = f"{word()} {word()}, {lead} {quote}"
+    return f"{before}{span}{quote} {word()} {word()}.", kind, len(before), len(before) + len(span), int(good)
 
 
 @lru_cache(maxsize=1)
@@ -281,15 +322,16 @@ def calibrated(curve: tuple[np.ndarray, np.ndarray], f: np.ndarray) -> np.ndarra
     return curve[1][np.minimum(np.searchsorted(curve[0], f), len(curve[1]) - 1)]
 
 
-def all_spans(texts: list[str]) -> list[tuple[list, list]]:
-    """(base spans, all spans) of each text."""
-    trees, curve, threshold = model()
+def all_spans(texts: list[str], fitted=None) -> list[tuple[list, list]]:
+    """(base spans, all spans) of each text; fitted: what model() gave."""
+    trees, curve, threshold = fitted or model()
     base = [base_spans(t) for t in texts]
     proposed = [(i, *c) for i, t in enumerate(texts) for c in candidates(t)]
-    proposed = [(i, k, s, e) for i, k, s, e in proposed if not any(s < be and bs < e for _, bs, be in base[i])]
+    # a candidate within a base span adds nothing; one that holds or touches a base span may extend it
+    proposed = [(i, k, s, e) for i, k, s, e in proposed if not any(bs <= s and e <= be for _, bs, be in base[i])]
     extra: list[list] = [[] for _ in texts]
     if proposed:
-        x = np.array([describe(texts[i], k, s, e) for i, k, s, e in proposed], float)
+        x = np.array([describe(texts[i], k, s, e, any(s < be and bs < e for _, bs, be in base[i])) for i, k, s, e in proposed], float)
         p = calibrated(curve, trees.score(x))
         ranked = sorted(((-q, i, s, KINDS.index(k), e) for (i, k, s, e), q in zip(proposed, p) if q >= threshold[k]))
         for _, i, s, k, e in ranked:
@@ -316,10 +358,12 @@ OUT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha
 
 
 def find(docs: DataFrame) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(model())
+
     def run(batches):
         for b in small(batches):
             cols: list[list] = [[] for _ in range(6)]
-            for base, every in all_spans([t or "" for t in b.column("text").to_pylist()]):
+            for base, every in all_spans([t or "" for t in b.column("text").to_pylist()], shared.value):
                 kinds = [k for k, _, _ in base]
                 for c, k in zip(cols, KINDS[:4]):
                     c.append(kinds.count(k))
@@ -333,12 +377,13 @@ def find(docs: DataFrame) -> DataFrame:
 def redact_table(docs: DataFrame) -> DataFrame:
     """docs with redacted text (null stays null); all columns stay."""
     names = docs.columns
+    shared = docs.sparkSession.sparkContext.broadcast(model())
 
     def run(batches):
         k = names.index("text")
         for b in small(batches):
             texts = b.column(k).to_pylist()
-            new = [None if t is None else redact(t, every) for t, (_, every) in zip(texts, all_spans([t or "" for t in texts]))]
+            new = [None if t is None else redact(t, every) for t, (_, every) in zip(texts, all_spans([t or "" for t in texts], shared.value))]
             yield b.set_column(k, "text", pa.array(new, b.schema.field(k).type))
 
     return docs.mapInArrow(run, docs.schema)
