@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -358,6 +359,51 @@ def test_templates_go_and_articles_stay(spark):
     assert html_main.main_texts(df.limit(0)).count() == 0
 
 
+def test_no_class_word_removes_the_wrapper_of_the_main_text():
+    assert html_main.extract('<div class="layout with-sidebar"><div class="sidebar">s</div><article><p>The text</p></article></div>') == "The text"
+    assert html_main.extract('<div class="sidebar-left"><h1>T</h1><p>The long text of the page</p><div class="sidebar">s</div></div><div class="ad">Buy</div>') == "T\nThe long text of the page"
+    assert html_main.extract('<div class="widget"><p>All there is</p></div>') == "All there is"
+    assert html_main.extract("<article>teaser</article><div>main story</div>") == "teaser\nmain story"
+
+
+def test_deep_pages_take_linear_time():
+    for page in ("<b>" * 50_000 + "</i>" * 50_000, "<b>" * 50_000 + "<h1>x</h1>" * 20_000, "<div>" * 50_000 + "x" + "</div>" * 50_000, "<b><article>" + "<i>" * 20_000 + "</b>" * 20_000, '<div class="ad">' * 20_000 + "x"):
+        began = time.process_time()
+        html_main.extract(page)
+        assert time.process_time() - began < 3
+
+
+def test_templates_by_counts_alone(spark):
+    """Pages without an article or a telling name: a fixed menu, a notice and an advert whose words change, on 12 pages a host."""
+    r = random.Random(2)
+    words = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    rows, want = [], {}
+    for host in range(3):
+        for k in range(12):
+            text = [words(r.randint(15, 40)) for _ in range(r.randint(3, 6))]
+            page = f'<body><div class="k1"><ul><li>Home<li>News{host}</ul></div><section class="k2">{words(4)}</section><div class="k3"><h2>{text[0]}</h2>{"".join(f"<p>{t}" for t in text[1:])}</div><section class="k4"><p>{words(3)}<p>All rights</section></body>'
+            rows.append((len(rows), f"http://h{host}.example/{k}", page))
+            want[len(rows) - 1] = "\n".join(text)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for limit in (1000, 0):
+        assert {x.page_id: x.text for x in html_main.main_texts(df, broadcast_rows=limit).collect()} == want
+    # the counts by brute force
+    pages: dict = {}
+    for _, url, page in rows:
+        w = html_main.Walk(page)
+        host = url.split("/")[2]
+        context = w.main_text()
+        for x in (x for x in w.nodes if x.exact and not x.inside):
+            pages.setdefault((host, 0, x.exact), set()).add(context)
+            pages.setdefault((host, "layout", x.layout), set()).add(context)
+        for f in w.candidates():
+            pages.setdefault((host, 1, f), set()).add(context)
+    layout = {(url.split("/")[2], x.exact): x.layout for _, url, page in rows for x in html_main.Walk(page).nodes}
+    brute = {(h, k, f) for (h, k, f), c in pages.items() if k != "layout" and len(c) >= html_main.MIN_PAGES and (k == 1 or len(c) >= html_main.SHARE * len(pages[h, "layout", layout[h, f]]))}
+    found = html_main.find_templates(df.select(F.regexp_extract("url", "//([^/]*)", 1).alias("host"), "html")).collect()
+    assert {(x.host, x.kind, x.subtree) for x in found} == brute and len(found) == len(brute)
+
+
 @pytest.mark.parametrize("others", [20, 400])
 def test_templates_of_one_section_go_at_every_size(spark, others):
     """A neutral menu and notice on 10 pages of a host; sentences that articles share stay."""
