@@ -63,6 +63,17 @@ def test_sessions_keep_state(spark, tmp_path):
     assert run_stateful(spark, tmp_path, q, data()) == want and want
 
 
+def test_reasons_and_groups_on_streams(spark, tmp_path):
+    """Closing reasons, and the first row's group for a batch that runs across groups, as on bounded input."""
+    batches = Query.parse("from s group by g where v != 2 window slice 4 rows aggregate count() as n, first(i) as f, reason() as why append n, f, why to o")
+    sessions = Query.parse("from s group by g window session begin when v == 1 end when v == 3 inclusive aggregate count(*) as n, last(i) as l, reason() as why append n, l, why to o")
+    expiring = Query.parse("from s group by g window session begin when v == 1 end when v == 3 inclusive expire after 3 seconds based on t aggregate count() as n, reason() as why append n, why to o")
+    late = [(1000, T0 + timedelta(hours=1), 0, 0), (1001, T0 + timedelta(hours=1), 0, 1)]
+    for k, (q, rows) in enumerate(((batches, data()), (sessions, data()), (expiring, data() + late))):
+        want = sorted(map(tuple, q.run(spark.createDataFrame(rows, SCHEMA), order_by=["i"]).collect()))
+        assert run_stateful(spark, tmp_path / str(k), q, rows) == want and want
+
+
 def test_sessions_expire(spark, tmp_path):
     q = Query.parse("from s group by g window session begin when v == 1 end when v == 9 inclusive expire after 12 seconds based on t aggregate count() as n, first(i) as f, last(i) as l append n, f, l to o")
     rows = data() + [(1000, T0 + timedelta(hours=1), 0, 0), (1001, T0 + timedelta(hours=1), 0, 1)]

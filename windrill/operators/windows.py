@@ -1,7 +1,9 @@
 """Window assignment: df -> df with __w_id, __w_start, __w_end and __w_reason. Aggregation then is one code path.
 
-Only sequences need an order: row batches are numbered by range partitions and their counts; sessions use SQL windows over their
-keys. Nothing but one row per partition, or per distinct bucket, comes to one place.
+Only sequences need an order: row batches are numbered by range partitions and their counts; sessions and gaps use SQL windows over
+their keys, or, without keys, over range partitions that start with the state that those before them leave. Nothing but one row
+per partition, or per distinct bucket, comes to one place; only a growing window without keys and an expiring session without
+keys are one sequence in one task.
 """
 
 from __future__ import annotations
@@ -87,21 +89,34 @@ def slice_range(df: DataFrame, field: str, size: int, boundary: str = "right") -
     return _with(df, F.col("__b"), F.col("__b") * n, (F.col("__b") + 1) * n, "interval").drop("__b")
 
 
+def _spread(df: DataFrame, order: list[str]) -> DataFrame:
+    """The rows in range partitions of the order, each sorted, with __part, their number, and __place, the place in it from 0.
+
+    Kept on disk so that all readers see the same partitions; a lost part is computed again from the same shuffle."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()).persist()
+    return spread.withColumns({"__part": F.shiftright("__id", 33).cast("int"), "__place": F.col("__id").bitwiseAND((1 << 33) - 1)}).drop("__id")
+
+
+def _carried(df: DataFrame, value: Column, start: int, step) -> tuple[Column, int]:
+    """(what each partition starts with, what the last one ends with): value aggregates a partition, step folds it into the state.
+
+    The driver sees one row a partition."""
+    found = {r.p: r.v for r in df.groupBy(F.col("__part").alias("p")).agg(value.alias("v")).collect()}
+    before, state = [], start
+    for p in range(max(found, default=-1) + 1):
+        before.append(state)
+        if found.get(p) is not None:
+            state = step(state, found[p])
+    return F.get(F.array(*[F.lit(v).cast("long") for v in before or [start]]), F.col("__part")), state
+
+
 def numbered(df: DataFrame, order: list[str], name: str = "__n") -> DataFrame:
     """Adds the row's place, from 0, in the total order. Range partitions are sorted on their own; the driver sees one count
     for each of them."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # kept on disk so that both readers see the same partitions; a lost part is computed again from the same shuffle
-    spread = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()).persist()
-    part, place = F.shiftright("__id", 33), F.col("__id").bitwiseAND((1 << 33) - 1)
-    counts = {r.p: r.n for r in spread.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    before, total = {}, 0
-    for p in sorted(counts):
-        before[p], total = total, total + counts[p]
-    if not counts:
-        return spread.withColumn(name, F.lit(0).cast("long")).drop("__id")
-    bases = F.array(*[F.lit(before.get(p, 0)).cast("long") for p in range(max(counts) + 1)])
-    return spread.withColumn(name, place + F.get(bases, part.cast("int"))).drop("__id")
+    spread = _spread(df, order)
+    base, _ = _carried(spread, F.count(F.lit(1)), 0, int.__add__)
+    return spread.withColumn(name, F.col("__place") + base).drop("__part", "__place")
 
 
 def slice_rows(df: DataFrame, size: int, order: list[str], groups: tuple[str, ...] = (), per_group: bool = False, emit_incomplete: bool = False) -> DataFrame:
@@ -134,17 +149,28 @@ def session(df: DataFrame, opened: Column, closed: Column, inclusive: bool, orde
 
     Each row's effect on the state is constant (open, close) or none, so the state after a row is the last effect before it. A
     closing row is tested anew and may open the next session: such a row can belong to two."""
-    # SQL windows need a partition; without groups there is one sequence, which is one partition by meaning
-    w = W.partitionBy(*groups).orderBy(*order) if groups else W.partitionBy(F.lit(0)).orderBy(*order)
-    upto = w.rowsBetween(W.unboundedPreceding, 0)
-    all_rows = (W.partitionBy(*groups) if groups else W.partitionBy(F.lit(0))).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     df = df.withColumns({"__o": F.coalesce(opened, F.lit(False)), "__c": F.coalesce(closed, F.lit(False))})
-    df = df.withColumn("__after", F.last(F.when(F.col("__o"), 1).when(F.col("__c"), 0), ignorenulls=True).over(upto))
-    df = df.withColumn("__open", F.coalesce(F.lag("__after").over(w), F.lit(0)) == 1)
+    effect = F.when(F.col("__o"), 1).when(F.col("__c"), 0)
+    was_open = first_sid = F.lit(0)
+    if not groups:  # one sequence: range partitions, each with the state that the ones before it leave
+        df = _spread(df, order)
+        was_open, _ = _carried(df, F.max_by(effect, F.when(effect.isNotNull(), F.col("__place"))), 0, lambda _, last: last)
+        w = W.partitionBy("__part").orderBy("__place")
+    else:
+        w = W.partitionBy(*groups).orderBy(*order)
+    upto = w.rowsBetween(W.unboundedPreceding, 0)
+    df = df.withColumn("__after", F.last(effect, ignorenulls=True).over(upto))
+    df = df.withColumn("__open", F.coalesce(F.lag("__after").over(w), was_open) == 1)
     df = df.withColumn("__starts", F.col("__o") & (~F.col("__open") | F.col("__c")))
-    df = df.withColumn("__sid", F.sum(F.col("__starts").cast("long")).over(upto))
+    if not groups:
+        first_sid, _ = _carried(df, F.sum(F.col("__starts").cast("long")), 0, int.__add__)
+    df = df.withColumn("__sid", F.sum(F.col("__starts").cast("long")).over(upto) + first_sid)
     earlier = F.col("__sid") - F.col("__starts").cast("long")
-    df = df.withColumn("__done", F.max(F.when(F.col("__open") & F.col("__c"), earlier)).over(all_rows))
+    ended = F.max(F.when(F.col("__open") & F.col("__c"), earlier))
+    if groups:
+        df = df.withColumn("__done", ended.over(W.partitionBy(*groups).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    else:
+        df = df.withColumn("__done", F.lit(df.agg(ended.alias("d")).first().d).cast("long"))
     member = F.col("__open") & (~F.col("__c") | F.lit(inclusive))
     ids = F.array_compact(F.array(F.when(member, earlier), F.when(F.col("__starts"), F.col("__sid"))))
     df = df.withColumn("__w_id", F.explode(ids))
@@ -152,65 +178,71 @@ def session(df: DataFrame, opened: Column, closed: Column, inclusive: bool, orde
     df = df.withColumn("__w_reason", F.when(complete, "close").otherwise("end"))
     if not emit_incomplete:
         df = df.where(complete)
-    return df.withColumns({"__w_start": F.col("__w_id"), "__w_end": F.col("__w_id")}).drop("__o", "__c", "__after", "__open", "__starts", "__sid", "__done")
+    return df.withColumns({"__w_start": F.col("__w_id"), "__w_end": F.col("__w_id")}).drop("__o", "__c", "__after", "__open", "__starts", "__sid", "__done", "__part", "__place")
 
 
 def session_expire(df: DataFrame, opened: Column, closed: Column, inclusive: bool, time: str, expire_ms: int, order: list[str], groups: tuple[str, ...], mode: str = "life", emit_incomplete: bool = False) -> DataFrame:
     """Sessions that also end when a row comes later than expire after the opening (life) or after the last row (idle).
 
-    The row that finds the session expired isn't in it; it is tested anew. Rows are sorted by group and order and pass through a
-    small automaton, so memory doesn't depend on the size of a group."""
+    The row that finds the session expired isn't in it; it is tested anew. Rows without a time are left out. Rows are sorted by group
+    and order and pass through a small automaton once, so memory doesn't depend on the size of a group; how a session ended
+    comes to its rows by a window over (group, session)."""
     if mode not in ("life", "idle"):
         raise AnalysisError(f"unknown expiry {mode}")
     key = F.xxhash64(*groups) if groups else F.lit(0).cast("long")
+    df = df.where(F.col(time).isNotNull())
     df = df.withColumns({"__o": F.coalesce(opened, F.lit(False)), "__c": F.coalesce(closed, F.lit(False)), "__t": F.unix_micros(F.col(time).cast("timestamp")), "__g": key, "__gk": F.to_json(F.struct(*groups)) if groups else F.lit("")})
-    schema = T.StructType([*df.schema.fields, T.StructField("__w_id", T.LongType()), T.StructField("__w_reason", T.StringType()), T.StructField("__ends", T.StringType())])
+    schema = T.StructType([*df.schema.fields, T.StructField("__w_id", T.LongType()), T.StructField("__why", T.StringType())])
     limit = expire_ms * 1000
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         group, sid, is_open, since = None, 0, False, 0
         for pdf in batches:
-            rows, ids, ends = [], [], []
+            rows, ids, why = [], [], []  # a row of a session, or, with a reason, the news that the session ended
             for k, (g, o, c, t) in enumerate(zip(pdf["__gk"], pdf["__o"], pdf["__c"], pdf["__t"])):
                 if g != group:
                     group, sid, is_open = g, 0, False
-                ended = None
                 if is_open and t - since > limit:
-                    is_open, ended = False, f"{sid}:expire"
+                    is_open = False
+                    rows.append(k), ids.append(sid), why.append("expire")
                 if is_open:
                     if not c or inclusive:
-                        rows.append(k), ids.append(sid), ends.append(None)
+                        rows.append(k), ids.append(sid), why.append(None)
                     if mode == "idle":
                         since = t
                     if c:
-                        is_open, ended = False, f"{sid}:close"
+                        is_open = False
+                        rows.append(k), ids.append(sid), why.append("close")
                 if not is_open and o:
                     sid, is_open, since = sid + 1, True, t
-                    rows.append(k), ids.append(sid), ends.append(ended)
-                elif ended:
-                    # a carrier row of no session tells how the session ended
-                    rows.append(k), ids.append(0), ends.append(ended)
+                    rows.append(k), ids.append(sid), why.append(None)
             out = pdf.iloc[rows].copy()
-            out["__w_id"], out["__w_reason"], out["__ends"] = pd.array(ids, "int64"), None, ends
+            out["__w_id"], out["__why"] = pd.array(ids, "int64"), why
             yield out
 
     done = df.repartition("__g").sortWithinPartitions("__g", "__gk", *order).mapInPandas(run, schema)
-    done = done.withColumn("__s", F.coalesce(F.split("__ends", ":")[0].cast("long"), F.lit(-1)))
-    ended = done.where("__ends is not null").select("__gk", F.col("__s").alias("__w_id"), F.split("__ends", ":")[1].alias("__why")).distinct()
-    rows = done.where("__w_id > 0").drop("__w_reason", "__s", "__ends").join(ended, ["__gk", "__w_id"], "left")
-    rows = rows.withColumn("__w_reason", F.coalesce("__why", F.lit("end")))
-    if not emit_incomplete:
-        rows = rows.where("__why is not null")
+    done = done.withColumn("__w_reason", F.max("__why").over(W.partitionBy("__g", "__gk", "__w_id")))
+    rows = done.where(F.col("__why").isNull())
+    rows = rows.withColumn("__w_reason", F.coalesce("__w_reason", F.lit("end"))) if emit_incomplete else rows.where(F.col("__w_reason").isNotNull())
     return rows.withColumns({"__w_start": F.col("__w_id"), "__w_end": F.col("__w_id")}).drop("__o", "__c", "__t", "__g", "__gk", "__why")
 
 
 def session_gap(df: DataFrame, time: str, gap_ms: int, groups: tuple[str, ...]) -> DataFrame:
     """Sessions that a pause of at least gap ends, per group."""
-    w = (W.partitionBy(*groups) if groups else W.partitionBy(F.lit(0))).orderBy(time)
     micros = F.unix_micros(F.col(time).cast("timestamp"))
-    df = df.withColumn("__new", F.coalesce(micros - F.lag(micros).over(w) >= gap_ms * 1000, F.lit(True)).cast("long"))
-    ident = F.sum("__new").over(w.rangeBetween(W.unboundedPreceding, 0))
-    return _with(df, ident, ident, ident, "expire").drop("__new")
+    before = base = F.lit(None).cast("long")
+    if groups:
+        w = W.partitionBy(*groups).orderBy(time)
+    else:  # rows of one time are in one partition
+        df = _spread(df, [time])
+        before, _ = _carried(df, F.max(micros), None, lambda state, last: last)
+        w = W.partitionBy("__part").orderBy(time)
+    new = F.coalesce(micros - F.coalesce(F.lag(micros).over(w), before) >= gap_ms * 1000, F.lit(True)).cast("long")
+    df = df.withColumn("__new", new)
+    if not groups:
+        base, _ = _carried(df, F.sum("__new"), 0, int.__add__)
+    ident = F.sum("__new").over(w.rangeBetween(W.unboundedPreceding, 0)) + F.coalesce(base, F.lit(0))
+    return _with(df, ident, ident, ident, "expire").drop("__new", "__part", "__place")
 
 
 def growing(df: DataFrame, aggregates: dict[str, Column], order: list[str], groups: tuple[str, ...]) -> DataFrame:

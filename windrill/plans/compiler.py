@@ -25,9 +25,11 @@ def _usage(df: DataFrame, usage: str) -> list[str]:
     return [f.name for f in df.schema.fields if (f.metadata or {}).get("usage") == usage]
 
 
-def compile_plan(plan: Plan, df: DataFrame, order_by: list[str] | None = None, keep_window: bool = False) -> DataFrame:
+def compile_plan(plan: Plan, df: DataFrame, order_by: list[str] | None = None, keep_window: bool = False, assigned: bool = False) -> DataFrame:
     """Builds the DataFrame of a plan over its input.
 
+    assigned: the rows have passed the first filter and bear their window's columns already, as from a stateful stream.
+
     order_by: the arrival order; without it, the field the window is based on and the fields marked as sequence. keep_window adds
     window_start and window_end. Output: projections, then the group fields in clause order."""
     spec = plan.window
@@ -42,7 +44,7 @@ def compile_plan(plan: Plan, df: DataFrame, order_by: list[str] | None = None, k
     clash &= set(plan.groups)
     if clash:
         raise AnalysisError(f"{', '.join(sorted(clash))}: both a result and a group field")
-    if plan.where is not None:
+    if plan.where is not None and not assigned:
         df = df.where(condition(plan.where, scope))
     time = spec.based_on
     if time is None and (spec.kind in ("slide", "gap") or spec.expire is not None):
@@ -54,7 +56,8 @@ def compile_plan(plan: Plan, df: DataFrame, order_by: list[str] | None = None, k
         scope.get(time)
     order = list(order_by or []) or [*([time] if time and scope.get(time)[0] in ("timestamp", "long") else []), *_usage(df, "sequence")]
     order = [derived.get(o, o) for o in order]
-    df = _assign(df, plan, derived.get(time, time) if time else None, order, scope)
+    if not assigned:
+        df = _assign(df, plan, derived.get(time, time) if time else None, order, scope)
     out = _aggregate(df, plan, order, scope, streaming)
     names = Scope(out.select(*[f"`{a.alias}`" for a in plan.aggregates]).schema)
     if plan.having is not None:
@@ -112,7 +115,7 @@ def _aggregate(df: DataFrame, plan: Plan, order: list[str], scope: Scope, stream
     for a in plan.aggregates:
         if a.alias in built:
             raise AnalysisError(f"two aggregates are called {a.alias}")
-        if a.function == "count" and a.argument and a.argument not in types and a.argument != "*":
+        if a.function == "count" and a.argument and a.argument not in types:
             raise AnalysisError(f"unknown name {a.argument}")
         kind = x = None
         if a.argument and a.function not in ("count", "reason"):

@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import aggregates
+from .functions.sketches import cms_estimate
 from .operators import windows
 from .plans.compiler import Query
+from .sources import files
+from .sources.catalog import Field, Table
 from .sources.files import read_parquet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,10 +53,34 @@ def ingress_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["ingress_scan"] = ingress_scan
 ORACLE_SQL["ingress_scan"] = "SELECT event_id, ts, user_id, event_type, value FROM events"
 
+_EVENTS = Table("events", [Field("event_id", "integer64", "sequence"), Field("ts", "timestamp", "time"), Field("user_id", "integer64", "group"), Field("event_type", "text", "group"), Field("value", "float64")])
+
+
+def ingress_delimited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delimited text, written by the sink and read by the source with its declared types, through a window."""
+    where = files.scratch(spark, "delimited")
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("ts")
+    files.write_delimited(load(spark, sf_dir, "events").select("event_id", stamp, "user_id", "event_type", "value"), where)
+    q = Query.parse("from events group by event_type where value > 10.0 window slice 60 minutes based on ts aggregate count() as n, sum(value) as s, first(event_id) as f append n, s, f to out")
+    return _rounded(q.run(files.read_delimited(spark, where, _EVENTS), order_by=["event_id"]))
+
+
+def egress_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query's result, written by the sink and read back."""
+    where = files.scratch(spark, "egress")
+    q = Query.parse("from events group by event_type window slice 60 minutes based on ts aggregate count() as n, max(value) as top append n, top to out")
+    files.write_parquet(_rounded(q.run(load(spark, sf_dir, "events"))), where)
+    return read_parquet(spark, where)
+
+
 _HOUR = "date_trunc('hour', ts)"
 _ORDER = ["ts", "event_id"]
 _N = "CAST(count(*) AS BIGINT) AS n"
 
+QUERIES |= {"ingress_delimited": ingress_delimited, "egress_parquet": egress_parquet}
+ORACLE_SQL["ingress_delimited"] = f"SELECT {_N}, round(sum(value), 6) AS s, min(event_id) AS f, event_type FROM events WHERE value > 10 GROUP BY event_type, {_HOUR}"
+ORACLE_SQL["egress_parquet"] = f"SELECT {_N}, round(max(value), 6) AS top, event_type FROM events GROUP BY event_type, {_HOUR}"
+
 _add("filter_pre", 'from events where value > 50.0 and not (event_type == "error") or user_id % 7 == 3 window slice 60 minutes based on ts aggregate count() as n, sum(value) as total append n, total to out',
      f"SELECT {_N}, round(sum(value), 6) AS total FROM events WHERE value > 50 AND NOT (event_type = 'error') OR user_id % 7 = 3 GROUP BY {_HOUR}")
 _add("filter_having", "from events group by event_type window slice 60 minutes based on ts aggregate count(value) as n, avg(value) as mean_value where n >= 3 append n, mean_value to out",
@@ -147,6 +174,17 @@ w AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS w FROM g)
 SELECT {_N}, round(sum(value), 6) AS s, user_id FROM w GROUP BY user_id, w"""
 
 
+def session_gap_ungrouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = Query.from_("events").gap("10 minutes", on="ts").aggregate(n="count()", s="sum(value)").append("n", "s")
+    return _rounded(q.run(load(spark, sf_dir, "events")))
+
+
+QUERIES["session_gap_ungrouped"] = session_gap_ungrouped
+ORACLE_SQL["session_gap_ungrouped"] = f"""WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (ORDER BY ts)) < 600000000 THEN 0 ELSE 1 END AS fresh FROM events),
+w AS (SELECT *, sum(fresh) OVER (ORDER BY ts) AS w FROM g)
+SELECT {_N}, round(sum(value), 6) AS s FROM w GROUP BY w"""
+
+
 def growing_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = windows.growing(load(spark, sf_dir, "events"), {"n": F.count(F.lit(1)), "s": F.sum("value")}, _ORDER, ("user_id",))
     return _rounded(df.select("event_id", "n", "s"))
@@ -173,8 +211,32 @@ for _name, _call, _sql in (
 
 _add("agg_distinct_mixed", "from events window slice 360 minutes based on ts aggregate distinctcount(user_id) as d, count() as n, last(value) as l append d, n, l to out",
      f"SELECT CAST(count(DISTINCT user_id) AS BIGINT) AS d, {_N}, round(arg_max(value, (ts, event_id)), 6) AS l FROM events GROUP BY epoch_us(ts) // 21600000000", _ORDER)
-_add("agg_uniq", "from events group by event_type window slice 1440 minutes based on ts aggregate uniq(user_id) as u, hll(value) as v append u, v to out", None)
-_add("agg_cms", "from events group by event_type window slice 14400 minutes based on ts aggregate cms(user_id) as sketch, count() as n append sketch, n to out", None)
+
+def agg_uniq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct counts from sketches, held against exact ones: within one in a hundred."""
+    q = Query.parse("from events group by event_type window slice 14400 minutes based on ts aggregate uniq(user_id) as u, hll(value) as v, distinctcount(user_id) as d, distinctcount(value) as e append u, v, d, e to out")
+    df = q.run(load(spark, sf_dir, "events"))
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= F.greatest(F.lit(1.0), 0.01 * F.col(b))
+    return df.select("event_type", F.col("d").alias("users"), F.col("e").alias("vals"), near("u", "d").alias("users_near"), near("v", "e").alias("vals_near"))
+
+
+QUERIES["agg_uniq"] = agg_uniq
+_TEN_DAYS = "(epoch_us(ts) + 62135596800000000) // 864000000000"
+ORACLE_SQL["agg_uniq"] = f"SELECT event_type, CAST(count(DISTINCT user_id) AS BIGINT) AS users, CAST(count(DISTINCT value) AS BIGINT) AS vals, true AS users_near, true AS vals_near FROM events GROUP BY event_type, {_TEN_DAYS}"
+
+
+def agg_cms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each user occurs by a window's sketch: never less than exactly, and more by a thousandth of the window at most."""
+    events = load(spark, sf_dir, "events")
+    q = Query.parse("from events group by event_type window slice 14400 minutes based on ts aggregate cms(user_id) as sketch, count(*) as n append sketch, n to out")
+    sketches = q.run(events, keep_window=True)  # one row a window and group
+    exact = Query.parse("from events group by event_type, user_id window slice 14400 minutes based on ts aggregate count() as times append times to out").run(events, keep_window=True)
+    both = exact.join(sketches, ["event_type", "window_start", "window_end"]).withColumn("estimate", cms_estimate("sketch", "user_id"))
+    return both.select("event_type", "user_id", "times", ((F.col("estimate") >= F.col("times")) & (F.col("estimate") <= F.col("times") + F.ceil(0.001 * F.col("n")))).alias("near"))
+
+
+QUERIES["agg_cms"] = agg_cms
+ORACLE_SQL["agg_cms"] = f"SELECT event_type, user_id, CAST(count(*) AS BIGINT) AS times, true AS near FROM events GROUP BY event_type, user_id, {_TEN_DAYS}"
 
 
 def agg_user_defined(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,6 +251,8 @@ ORACLE_SQL["agg_user_defined"] = "SELECT round(max(value) - min(value), 6) AS x,
 
 _add("expr_arith", "from events where (user_id + 3) * 2 / 5 - 1 >= event_id % 40 and value * 2.0 - 1.5 > user_id / 2 window slice 60 minutes based on ts aggregate count() as n, sum(event_id) as s append n, s to out",
      f"SELECT {_N}, CAST(sum(event_id) AS BIGINT) AS s FROM events WHERE (user_id + 3) * 2 // 5 - 1 >= event_id % 40 AND value * 2.0 - 1.5 > user_id // 2 GROUP BY {_HOUR}")
+_add("expr_true_false", 'from events where true and not (event_type == "view" and true) or false window slice 60 minutes based on ts aggregate count(*) as n append n where true to out',
+     f"SELECT {_N} FROM events WHERE event_type <> 'view' GROUP BY {_HOUR}")
 _add("expr_bool", 'from events where event_type == "view" or event_type == "click" and value < 20.0 or not (value <= 80.0 or user_id != 5) window slice 60 minutes based on ts aggregate count() as n append n to out',
      f"SELECT {_N} FROM events WHERE event_type = 'view' OR event_type = 'click' AND value < 20 OR NOT (value <= 80 OR user_id <> 5) GROUP BY {_HOUR}")
 _add("expr_time", "from events where ts + 90 minutes > '2024-01-05T00:00:00Z' and ts - '2024-01-20T00:00:00Z' < 30 minutes window slice 60 minutes based on ts aggregate count() as n, first(event_id) as f, last(event_id) as l append n, f, l to out",

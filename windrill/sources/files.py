@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,6 +74,16 @@ def read_parquet(spark: SparkSession, path: str, time: str | None = None, sequen
     return df
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder name in the folder that spark.checkpoint.dir names; a session on one machine may do without that setting."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        where = f"file://{tempfile.gettempdir()}"
+    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def write_delimited(df: DataFrame, path: str, separator: str = SEPARATOR, mode: str = "error") -> None:
     if len(set(df.columns)) != len(df.columns):
         raise ValueError("a file can't have two columns of one name")

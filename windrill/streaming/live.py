@@ -156,10 +156,10 @@ def stateful_rows(plan: Plan, stream: DataFrame, order_by: list[str], lateness:
 
 
 def aggregate_rows(plan: Plan, rows: DataFrame, order_by: list[str]) -> DataFrame:
-    """The aggregates, filters and projections of a plan over the rows that stateful_rows gave, in a batch."""
-    rows = rows.withColumnRenamed("__w_id", "session_window").drop("window_opens", "window_closes", "window_micros", "__key")
-    spec = WindowSpec("slice_range", 1, based_on="session_window")
-    return compile_plan(Plan(plan.source, plan.groups, None, spec, plan.aggregates, plan.having, plan.projections, plan.project_where, plan.sink), rows.drop("__w_reason"), order_by)
+    """The aggregates, filters and projections of a plan over the rows that stateful_rows gave, in a batch. Windows keep their
+    reasons, and row batches across groups take the first row's group fields, as on bounded input."""
+    rows = rows.drop("window_opens", "window_closes", "window_micros", "__key").withColumns({"__w_start": F.col("__w_id"), "__w_end": F.col("__w_id")})
+    return compile_plan(plan, rows, order_by, assigned=True)
 
 
 __all__ = ["aggregate_rows", "event_time", "processing_time", "stateful_rows"]
