@@ -7,11 +7,15 @@ before its data bytes, and the decoder looks control bytes up in a table of 256
 A file holds a run of documents in ascending doc_id order: the magic, counts, doc ids, ids of each document, control bytes,
 data bytes. The rank table is a file of its own. Files follow one another by their number; each says how many ids stand before.
 
-Documents are encoded where they lie; only encoded bytes move, to the bucket of their doc_id. Bucket bounds are quantiles of
-doc_id, so a bucket holds about IDS_PER_FILE ids. A document of any length stays whole.
+Documents are encoded where they lie; their ids move once, to the range partition of (doc_id, length, hash), so that rows without a
+doc_id and rows that repeat one are spread like all others. A partition writes one file after another of about IDS_PER_FILE ids,
+whatever its number of documents. A document of any length stays whole. The ids before a file are sums over the manifest.
 
-Cases: null text is empty and gets the end id alone; null doc_ids come first; repeated rows each get a place (ties by content);
-an empty table gives no file but the rank table. Further columns are ignored.
+Encoding is done by this package's batched merges (wordbpe), which equal the tokenizers library id by id; the library itself
+encodes what they leave: special tokens, odd lower cases and long spans.
+
+Cases: null text is empty and gets the end id alone; null doc_ids come first; repeated rows each get a place (ties by length, then
+content); texts of any length are encoded whole; an empty table gives no file but the rank table. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,15 +24,19 @@ import struct
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import cut, read_file, read_table, work_folder, write_file
+from .shared import cut, read_file, read_table, small, work_folder, write_file
+from .spans import ragged
 
 MAGIC = b"VBRANK01"
 IDS_PER_FILE = 4_000_000
+#: ids of a range partition, in one file or more
+PARTITION_IDS = 4_000_000
 END = 1
 
 _LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
@@ -48,7 +56,12 @@ def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
 
 def unpack(control: np.ndarray, data: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(the n integers, where each begins in data and, last, their end)."""
-    length = _LENGTHS[control].reshape(-1)[:n].astype(np.int64)
+    return values(_LENGTHS[control].reshape(-1)[:n], data)
+
+
+def values(length: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the integers of these lengths, where each begins in data and, last, their end)."""
+    length = length.astype(np.int64)
     at = np.concatenate([[0], np.cumsum(length)])
     begin = at[:-1]
     value = data[begin].astype(np.uint32)
@@ -105,32 +118,44 @@ def write_files(docs: DataFrame, path: str, folder: str, end: int = END, ids_per
     table = write_file(folder, "ranks", ranked.astype("<u4").tobytes())
     to_rank = np.zeros(int(ranked.max(initial=0)) + 1, np.uint32)
     to_rank[ranked] = np.arange(len(ranked), dtype=np.uint32)
-    parts = max(1, -(-sum(counts.values()) // ids_per_file))
-    bounds = sorted(set(tokens.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 100 * parts)).first()[0] or [])) if parts > 1 else []
-
-    def encode(batches):
-        for b in batches:
-            ids = [to_rank[np.frombuffer(x, f"<u{width}")] for x in b.column("ids").to_pylist()]
-            packed = [pack(x) for x in ids]
-            doc = b.column("doc_id").to_pandas()
-            part = np.where(doc.isna(), 0, np.searchsorted(np.array(bounds, np.int64), doc.fillna(0).astype("int64"), side="right"))
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), b.column("doc_id"), b.column("n"), pa.array([p[0] for p in packed], pa.binary()), pa.array([p[1] for p in packed], pa.binary())], ["part", "doc_id", "n", "control", "data"])
-
-    def save(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(order=pdf.doc_id.notna()).sort_values(["order", "doc_id", "n", "data"], kind="stable")
-        n = pdf.n.to_numpy(np.int64)
-        present = pdf.doc_id.notna().to_numpy()
-        head = MAGIC + struct.pack("<QQ", len(pdf), int(n.sum()))
-        body = [head, present.astype(np.uint8).tobytes(), pdf.doc_id.fillna(0).to_numpy(np.int64).astype("<i8").tobytes(), n.astype("<i8").tobytes(), *pdf.control, *pdf.data]
-        name = write_file(folder, f"part-{int(pdf.part.iloc[0]):06d}", b"".join(body))
-        return pd.DataFrame({"part": pdf.part.iloc[:1], "file": [name], "docs": [len(pdf)], "n": [int(n.sum())]})
-
-    encoded = tokens.mapInArrow(encode, "part int, doc_id long, n long, control binary, data binary")
-    written = cut(encoded.groupBy("part").applyInPandas(save, "part int, file string, docs long, n long"), "op2-manifest")
-    rows = sorted(written.collect())  # a row for each file of ids_per_file ids
-    base = np.concatenate([[0], np.cumsum([r.n for r in rows])])
-    schema = "part int, file string, base long, docs long, n long"
-    return docs.sparkSession.createDataFrame([(r.part, r.file, int(base[k]), r.docs, r.n) for k, r in enumerate(rows)], schema), table
+    parts = max(1, -(-sum(counts.values()) // max(ids_per_file, PARTITION_IDS)))
+    shared = docs.sparkSession.sparkContext.broadcast(to_rank)  # a row for each id of the vocabulary
+
+    def save(batches):
+        number = TaskContext.get().partitionId()
+        own: list[tuple] = []
+        have = files = 0
+
+        def flush():
+            nonlocal own, have, files
+            doc, n, control, data = zip(*own)
+            present = np.array([d is not None for d in doc], np.uint8)
+            head = MAGIC + struct.pack("<QQ", len(own), have)
+            body = [head, present.tobytes(), np.array([d or 0 for d in doc], "<i8").tobytes(), np.array(n, "<i8").tobytes(), *control, *data]
+            name = write_file(folder, f"part-{number:06d}-{files:06d}", b"".join(body))
+            row = pa.RecordBatch.from_pydict({"part": pa.array([number], pa.int64()), "place": pa.array([files], pa.int64()), "file": [name], "docs": pa.array([len(own)], pa.int64()), "n": pa.array([have], pa.int64())})
+            own, have, files = [], 0, files + 1
+            return row
+
+        for b in small(batches):
+            for doc, n, ids in zip(*(b.column(c).to_pylist() for c in ("doc_id", "n", "ids"))):
+                if own and have + n > ids_per_file:
+                    yield flush()
+                own.append((doc, n, *pack(shared.value[np.frombuffer(ids, f"<u{width}")])))
+                have += n
+        if own:
+            yield flush()
+
+    order = [F.asc_nulls_first("doc_id"), F.col("n"), F.col("h")]
+    moved = tokens.withColumn("h", F.xxhash64("ids")).repartitionByRange(parts, *order).sortWithinPartitions(*order, "ids")
+    written = cut(moved.select("doc_id", "n", "ids").mapInArrow(save, "part long, place long, file string, docs long, n long"), "op2-manifest")
+    # the ids before each file: within blocks of partitions, and before each block
+    block = F.floor(F.col("part") / 1024)
+    within = W.partitionBy("block").orderBy("part", "place").rowsBetween(W.unboundedPreceding, -1)
+    placed = written.withColumn("block", block).withColumn("inner", F.coalesce(F.sum("n").over(within), F.lit(0)))
+    totals = written.groupBy(block.alias("block")).agg(F.sum("n").alias("t"))
+    before = totals.withColumn("outer", F.coalesce(F.sum("t").over(W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("block", "outer")
+    return placed.join(before, "block").select("part", "file", (F.col("inner") + F.col("outer")).alias("base"), "docs", "n"), table
 
 
 def read_documents(manifest: DataFrame, table: str, files: int, with_ids: bool = False) -> DataFrame:
@@ -152,17 +177,9 @@ def read_documents(manifest: DataFrame, table: str, files: int, with_ids: bool =
                 blocks = -(-n // 4)
                 control = raw[at : at + int(blocks.sum())]
                 # each document has its own control bytes; the last may hold fewer than four lengths
-                slot = np.zeros(int(blocks.sum()) * 4, bool)
                 first = np.cumsum(blocks) - blocks
-                from .spans import ragged
-
-                slot[ragged(first * 4, n)] = True
-                length = _LENGTHS[control].reshape(-1)[slot]
-                squeezed = np.zeros(-(-total // 4) * 4, np.uint8)
-                squeezed[:total] = length - 1
-                squeezed = squeezed.reshape(-1, 4)
-                joined = (squeezed[:, 0] | squeezed[:, 1] << 2 | squeezed[:, 2] << 4 | squeezed[:, 3] << 6).astype(np.uint8)
-                value, _ = unpack(joined, raw[at + len(control) :], total)
+                length = _LENGTHS[control].reshape(-1)[ragged(first * 4, n)]
+                value, _ = values(length, raw[at + len(control) :])
                 ids = np.ascontiguousarray(ranked[value].astype("<u4"))
                 upto = np.concatenate([[0], np.cumsum(n)])
                 view = memoryview(ids).cast("B")
