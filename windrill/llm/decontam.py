@@ -69,16 +69,19 @@ def bucket(h: np.ndarray) -> np.ndarray:
 def _sum(df: DataFrame, dtype: str) -> np.ndarray | None:
     """(v) byte arrays summed; None without a row."""
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(len(pdf.v.iloc[0]) // np.dtype(dtype).itemsize)
-        for v in pdf.v:
-            total += np.frombuffer(v, dtype)
-        return pd.DataFrame({"v": [total.tobytes()]})
-
-    # by a few task numbers first, so that no task reads more than some of the partial sums
-    some = df.groupBy(F.pmod(F.spark_partition_id(), F.lit(64)).alias("p")).applyInPandas(add, "v binary")
+    def adder(kind: str):
+        def add(pdf: pd.DataFrame) -> pd.DataFrame:
+            total = np.zeros(len(pdf.v.iloc[0]) // np.dtype(kind).itemsize)
+            for v in pdf.v:
+                total += np.frombuffer(v, kind)
+            return pd.DataFrame({"v": [total.tobytes()], "p": [int(pdf.p.iloc[0]) // 64]})
+
+        return add
+
+    # 64 tasks' sums at a time, then 64 of those; the driver adds one row for each 4,096 tasks
+    once = df.withColumn("p", F.floor(F.spark_partition_id() / 64)).groupBy("p").applyInPandas(adder(dtype), "v binary, p long")
     total = None
-    for r in some.toLocalIterator():
+    for r in once.groupBy("p").applyInPandas(adder("<f8"), "v binary, p long").toLocalIterator():
         v = np.frombuffer(r.v)
         total = v.copy() if total is None else total + v
     return total
