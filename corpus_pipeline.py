@@ -6,7 +6,9 @@ replaced by its kind. 5. SentencePiece: the texts are encoded and, from the ids,
 
 Stages 2 and 3 decide by what a row holds: the row key of stage 2 is a 64-bit hash of doc_id and text, stage 3 goes by a hash of
 the text. Rows without a doc_id are treated as all others and stay last in stage 2; rows that share a doc_id have no effect on
-each other unless their texts are similar. An empty table passes through every stage.
+each other unless their texts are similar. A null text is scored as empty, is similar to nothing, holds no item and stays null
+until it is encoded as empty; texts of any length are read whole. Ties: of equal rows one stays. Further columns pass through
+the first four stages, whatever their names. An empty table passes through every stage.
 """
 
 from __future__ import annotations
@@ -26,27 +28,40 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.drop_toxic(docs, toxicity.fit(docs, labels, toxicity.not_held_out()))
 
 
+def _free(docs: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until docs has no such column."""
+    out = []
+    for name in names:
+        while name in docs.columns:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each connected group, the one with the smallest doc_id; rows that are equal in doc_id and text count as one."""
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    found = jaccard.jaccard_join(keyed.select(F.col("_row").alias("doc_id"), "text"))
-    linked = found.where("n_similar > 0").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")).distinct()
-    near = cut(keyed.select("_row", "doc_id").join(linked, "_row"), "pipeline-similar")
-    first = near.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("m")).select("m._row")
-    gone = cut(near.select("_row").distinct().join(first, "_row", "left_anti"), "pipeline-gone")
-    kept = keyed.join(gone, "_row", "left_anti")
-    twice = cut(near.groupBy("_row").count().where("count > 1").select("_row").join(first, "_row", "left_semi"), "pipeline-twice")
+    row, group, place = _free(docs, "_row", "_group", "_place")
+    keyed = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    found = jaccard.jaccard_join(keyed.select(F.col(row).alias("doc_id"), "text"))
+    linked = found.where("n_similar > 0").select(F.col("doc_id").alias(row), F.col("component_id").alias(group)).distinct()
+    near = cut(keyed.select(row, "doc_id").join(linked, row), "pipeline-similar")
+    first = near.groupBy(group).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row)).alias("m")).select(F.col("m")[row].alias(row))
+    gone = cut(near.select(row).distinct().join(first, row, "left_anti"), "pipeline-gone")
+    kept = keyed.join(gone, row, "left_anti")
+    twice = cut(near.groupBy(row).count().where("count > 1").select(row).join(first, row, "left_semi"), "pipeline-twice")
     if twice.limit(1).count() == 0:
         return kept.select(*docs.columns)
-    again = kept.join(twice, "_row", "left_semi").withColumn("_place", F.row_number().over(W.partitionBy("_row").orderBy("_row")))
-    return kept.join(twice, "_row", "left_anti").select(*docs.columns).unionByName(again.where("_place = 1").select(*docs.columns))
+    again = kept.join(twice, row, "left_semi").withColumn(place, F.row_number().over(W.partitionBy(row).orderBy(row)))
+    return kept.join(twice, row, "left_anti").select(*docs.columns).unionByName(again.where(F.col(place) == 1).select(*docs.columns))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a benchmark item is found go; rows of one text go together."""
+    (key,) = _free(docs, "_text")
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     text = F.xxhash64("text")
-    found = cut(decontam.find_items(docs.select(text.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_text")).distinct(), "pipeline-leaks")
-    return docs.withColumn("_text", text).join(found, "_text", "left_anti").select(*docs.columns)
+    found = cut(decontam.find_items(docs.select(text.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(key)).distinct(), "pipeline-leaks")
+    return docs.withColumn(key, text).join(found, key, "left_anti").select(*docs.columns)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
