@@ -38,6 +38,15 @@ def _free(docs: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: rows of one number each that a join may send to every task; more are joined by shuffling
+BROADCAST_ROWS = 1_000_000
+
+
+def _sent(table: DataFrame) -> DataFrame:
+    """A written table of one number a row, marked for broadcast if it is within BROADCAST_ROWS, so that texts needn't move."""
+    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
+
+
 def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each connected group, the one with the smallest doc_id; rows that are equal in doc_id and text count as one."""
     row, group, place = _free(docs, "_row", "_group", "_place")
@@ -46,11 +55,12 @@ def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     linked = found.where("n_similar > 0").select(F.col("doc_id").alias(row), F.col("component_id").alias(group)).distinct()
     near = cut(keyed.select(row, "doc_id").join(linked, row), "pipeline-similar")
     first = near.groupBy(group).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row)).alias("m")).select(F.col("m")[row].alias(row))
-    gone = cut(near.select(row).distinct().join(first, row, "left_anti"), "pipeline-gone")
+    gone = _sent(cut(near.select(row).distinct().join(first, row, "left_anti"), "pipeline-gone"))
     kept = keyed.join(gone, row, "left_anti")
     twice = cut(near.groupBy(row).count().where("count > 1").select(row).join(first, row, "left_semi"), "pipeline-twice")
     if twice.limit(1).count() == 0:
         return kept.select(*docs.columns)
+    twice = _sent(twice)
     again = kept.join(twice, row, "left_semi").withColumn(place, F.row_number().over(W.partitionBy(row).orderBy(row)))
     return kept.join(twice, row, "left_anti").select(*docs.columns).unionByName(again.where(F.col(place) == 1).select(*docs.columns))
 
@@ -61,7 +71,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     text = F.xxhash64("text")
     found = cut(decontam.find_items(docs.select(text.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(key)).distinct(), "pipeline-leaks")
-    return docs.withColumn(key, text).join(found, key, "left_anti").select(*docs.columns)
+    return docs.withColumn(key, text).join(_sent(found), key, "left_anti").select(*docs.columns)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
