@@ -10,7 +10,8 @@ Bundling is linear, so training first sums trigram weights by language inside a
 languages x DIM numbers each, and the driver holds as many. All training texts count; nothing is sampled.
 
 Cases: null or empty text, or one without a letter: ``und`` with score 0. Null lang: not a training row. A language is whatever
-string ``lang`` holds; ties go to the alphabetically first. No training row at all: every text is ``und``. Repeated rows are
+string ``lang`` holds; ties go to the alphabetically first. No training row at all: every text is ``und``. A null
+doc_id is neither held out nor, as its fold is unknown, a training row. Texts of any length count whole. An empty table gives no row. Repeated rows are
 scored each for themselves. Further columns are ignored, whatever their names.
 """
 

@@ -8,6 +8,7 @@ position of the page it ends on. Bytes are a function of the payload alone, so e
 Cases: null or empty text is one frame of padding. A damaged page, a gap in the sequence, a missing end page or a stream without
 its header raises ValueError. Texts of any length are stored whole. Repeated rows are stored each for themselves; further
 columns are ignored.
+A null doc_id is kept as it is; there are no ties; an empty table gives no row.
 """
 
 from __future__ import annotations
