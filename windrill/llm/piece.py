@@ -13,7 +13,7 @@ longer than LONG code points, are merged one by one with a heap.
 
 Cases: null and empty texts have no pieces and decode to the empty text. A text that holds the mark itself decodes with a space
 in its place, as in the library. Texts of any length are encoded whole. A null doc_id is kept as it is. Ties can't arise: a
-prefix's last piece is unique (unigram: of equal sums the longest last piece). Repeated rows are encoded each for themselves; an
+prefix's last piece is unique (unigram: of equal sums the one with the shortest last piece). Repeated rows are encoded each for themselves; an
 empty table gives no row; further columns are ignored.
 """
 
