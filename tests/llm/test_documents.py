@@ -142,6 +142,33 @@ def test_jaccard_join_with_and_without_broadcast_members(spark, monkeypatch, mos
     assert got == jaccard_by_hand(rows)
 
 
+def test_long_texts_that_share_a_few_rare_shingles_stay_apart(spark):
+    """Each text of 1,500 words shares a rarest passage of 10 words with the next, around a ring, and others with two texts each; none are linked."""
+    many, r = 60, random.Random(6)
+    pieces = [p for p in range(many * 148 // 3) for _ in range(3)]
+    r.shuffle(pieces)
+    texts = [pieces[k::many] + [many * 1000 + k, many * 1000 + (k + 1) % many] for k in range(many)]
+    rows = [(k, " ".join(f"p{p}x{i}" for p in t for i in range(10))) for k, t in enumerate(texts)]
+    assert all(x[2] == 0 for x in jaccard_by_hand(rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    counters = spark.sparkContext.broadcast(jaccard.shingle_counters(docs))
+    met = jaccard.meetings(jaccard.replicas(docs, counters, 5), 5)
+    assert met.count() > 0 and jaccard.edges(met).count() == 0
+
+
+def test_jaccard_join_of_long_texts_at_the_threshold(spark):
+    """Pairs at and just below the threshold: the part of a long text, and equal lengths; what a pair shares is common, what it doesn't is rare."""
+    rows = []
+    for g, n in enumerate((100, 333, 700, 2000, 9000)):
+        base = [f"g{g}x{i}" for i in range(n + 1)]
+        part, half = -(-n * 6 // 10), n * 3 // 4
+        for words in (base, base[: part + 1], base[:part], base[n - part :], base[: half + 1] + [f"r{g}x{i}" for i in range(n - half)], base[:half] + [f"s{g}x{i}" for i in range(n - half + 1)]):
+            rows.append((len(rows), " ".join(words)))
+    for most in (3, 40):
+        got = sorted((r.doc_id, r.n_shingles, r.n_similar, r.component_id) for r in jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(most)).collect())
+        assert got == jaccard_by_hand(rows) and len({x[2] for x in got}) > 2
+
+
 def test_jaccard_sql_agrees_with_brute_force():
     rows = [r for r in corpus(2, 6)]
     con = duckdb.connect()

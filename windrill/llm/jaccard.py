@@ -8,9 +8,11 @@ one-shingle sets {s}, under the weighted Jaccard distance whose weights fall ste
 nearest pivot is its rarest shingle, the next its second rarest, and so on. The window comes from the triangle inequality: with
 x_r for x without its r rarest shingles, d(x, x_r) = r / |x|; a partner that holds none of those r shingles has no more in
 common with x than x_r, so it lies at least r / |x| away. x is thus replicated to its pivots only while r / |x| <= EPS (plus
-NEED - 1 more, so that a linked pair meets in NEED regions, or in all its common shingles if they are fewer). A pair counts in a
-region only if both positions still leave room for the intersection that their sizes ask for. Pairs that meet often enough are
-edges; components of edges are merged regions, and no link leaves one.
+times(|x|) - 1 more, so that a linked pair meets in times() of the smaller set's size regions, or in all its common shingles if they
+are fewer). times() grows with the size: long texts that aren't linked share a few rare shingles by chance, the more of them the
+larger the corpus, and a fixed number would merge them in one region. A pair counts in a region only if both positions still leave
+room for the intersection that their sizes ask for. Pairs that meet often enough are edges; components of edges are merged regions,
+and no link leaves one.
 
 Level 1 and deeper, region_join(): sets of a merged region go to the Voronoi cells of document pivots by their exact distances, as
 far as RHO; sets farther from every pivot go on with other pivots. y joins the cell of p if d(y,p) <= d(y,own pivot) + 2 EPS and
@@ -49,8 +51,8 @@ from .textnum import shingles, word_hashes
 EPS = 0.4
 #: the largest radius of a cell of level 1 and deeper; sets farther from every pivot go on with other pivots
 RHO = 0.5
-#: a linked pair shares this many of the regions it is replicated to
-NEED = 3
+#: a linked pair shares this many of the regions it is replicated to, one more for each STEP shingles of the smaller set, MOST at most
+NEED, STEP, MOST = 3, 32, 255
 BUCKETS = 1 << 22
 SLICES = 64
 KEYS_PER_PART = 4_000_000
@@ -73,9 +75,14 @@ def need(nx, ny):
     return (3 * (nx + ny) + 7) // 8
 
 
+def times(n):
+    """In how many regions a linked pair whose smaller set has n shingles meets, if it has as many shingles in common."""
+    return np.minimum(NEED + n // STEP, MOST)
+
+
 def window(n):
     """How many of its nearest pivots a set of n shingles is replicated to."""
-    return np.minimum(n, n - (3 * n + 4) // 5 + NEED)
+    return np.minimum(n, n - (3 * n + 4) // 5 + times(n))
 
 
 def set_hash(s: np.ndarray) -> int:
@@ -301,7 +308,7 @@ def meet(blobs: list[tuple[bytes, bytes, bytes]], clusters: tuple[np.ndarray, np
             m = partners[begin:end]
             i = np.repeat(np.arange(begin, end), m)
             j = np.repeat(after[begin:end], m) + np.arange(len(i)) - np.repeat(total[begin:end] - total[begin], m)
-            least = need(n[i], n[j]) - NEED + 1
+            least = need(n[i], n[j]) - times(np.minimum(n[i], n[j])) + 1
             ok = (room[i] >= least) & (room[j] >= least) & (5 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j]))
             x, y = o[i[ok]], o[j[ok]]
             u, c = np.unique(np.minimum(x, y) << 32 | np.maximum(x, y), return_counts=True)
@@ -326,7 +333,7 @@ def meetings(packed: DataFrame, pair_parts: int, clusters=None) -> DataFrame:
         out = []
         for kinds, size, u, c in meet(list(zip(pdf.sets, pdf["keys"], pdf.place)), clusters.value if clusters else None):
             x, y = u >> 32, u & 0xFFFFFFFF  # kinds are sorted, so the smaller index is the smaller signature
-            least = np.minimum(NEED, need(size[x], size[y]))
+            least = np.minimum(times(np.minimum(size[x], size[y])), need(size[x], size[y]))
             # pairs that meet often enough right here are edges: their spanning forest stands for them, and pairs within one
             # of its components add nothing to the regions
             strong = c >= least
@@ -335,7 +342,7 @@ def meetings(packed: DataFrame, pair_parts: int, clusters=None) -> DataFrame:
             label[node] = root
             apart = label[x] != label[y]
             x, y = np.concatenate([root, x[apart]]), np.concatenate([node, y[apart]])
-            c, least = np.concatenate([np.full(len(node), NEED), np.minimum(c[apart], NEED)]), np.concatenate([np.ones(len(node), np.int64), least[apart]])
+            c, least = np.concatenate([np.full(len(node), MOST), np.minimum(c[apart], MOST)]), np.concatenate([np.ones(len(node), np.int64), least[apart]])
             a, b = kinds[x], kinds[y]
             part = (a ^ b * 31) % pair_parts
             order = np.argsort(part, kind="stable")
@@ -343,7 +350,7 @@ def meetings(packed: DataFrame, pair_parts: int, clusters=None) -> DataFrame:
             for p in range(pair_parts):
                 some = order[edge[p] : edge[p + 1]]
                 if len(some):
-                    out.append((p, a[some].astype("<i8").tobytes() + b[some].astype("<i8").tobytes() + (c[some] << 4 | least[some]).astype(np.uint8).tobytes()))
+                    out.append((p, a[some].astype("<i8").tobytes() + b[some].astype("<i8").tobytes() + c[some].astype(np.uint8).tobytes() + least[some].astype(np.uint8).tobytes()))
         return pd.DataFrame(out, columns=["part", "pairs"])
 
     return packed.groupBy("part").applyInPandas(run, "part int, pairs binary")
@@ -375,15 +382,14 @@ def edges(met: DataFrame) -> DataFrame:
     """Spanning edges (a, b) with a > b of the pairs that meet in enough regions."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = [len(v) // 17 for v in pdf.pairs]
+        n = [len(v) // 18 for v in pdf.pairs]
         a, b = (np.concatenate([np.frombuffer(v, "<i8", k, at * k) for v, k in zip(pdf.pairs, n)]) for at in (0, 8))
-        t = np.concatenate([np.frombuffer(v, np.uint8, k, 16 * k) for v, k in zip(pdf.pairs, n)]).astype(np.int64)
+        c, least = (np.concatenate([np.frombuffer(v, np.uint8, k, at * k) for v, k in zip(pdf.pairs, n)]).astype(np.int64) for at in (16, 17))
         order = np.lexsort((b, a))
-        a, b, t = a[order], b[order], t[order]
+        a, b, c, least = a[order], b[order], c[order], least[order]
         new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
         first = np.flatnonzero(new)
-        times = np.add.reduceat(t >> 4, first)
-        enough = times >= (t[first] & 0xF)
+        enough = np.add.reduceat(c, first) >= np.minimum.reduceat(least, first)
         node, root = forest(a[first][enough], b[first][enough])
         return pd.DataFrame({"a": node, "b": root})
 
@@ -621,7 +627,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     own = cut(signatures(docs), "op3-signatures")
     classes = cut(own.where("sig <> 0").groupBy("sig").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first"), F.first("words").alias("words")), "op3-classes")
-    total = own.agg(F.sum(F.col("n") - F.ceil(F.col("n") * 0.6) + NEED)).first()[0] or 0
+    total = own.agg(F.sum(F.col("n") - F.ceil(F.col("n") * 0.6) + F.least(F.floor(F.col("n") / STEP) + NEED, F.lit(MOST)))).first()[0] or 0
     parts = max(1, -(-int(total) // KEYS_PER_PART))
     copies = cut(near_copies(classes), "op3-copies")
     clusters = spark.sparkContext.broadcast(labels(components(copies, "op3-clusters")))
