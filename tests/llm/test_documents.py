@@ -169,6 +169,18 @@ def test_jaccard_join_of_long_texts_at_the_threshold(spark):
         assert got == jaccard_by_hand(rows) and len({x[2] for x in got}) > 2
 
 
+def test_packed_sets_take_11_bytes_each():
+    """Whatever the numbers, at the ends of what 2 bytes and 1 hold too."""
+    r = np.random.default_rng(2)
+    size, many = r.integers(1, 300, 1000), r.integers(1, 9, 1000)
+    sig = r.integers(1, 1 << 62, 1000)
+    assert len(jaccard.pack_sets(sig, size, many)) == 11_004
+    size[[1, 5, 7]], many[[0, 5, 9, 11]] = (65534, 65535, 4_000_000_000), (254, 255, 256, 70_000)
+    for n in (0, 1, 6, 1000):
+        for got, want in zip(jaccard.unpack_sets(jaccard.pack_sets(sig[:n], size[:n], many[:n])), (sig, size, many)):
+            assert got.tolist() == want[:n].tolist()
+
+
 def test_jaccard_sql_agrees_with_brute_force():
     rows = [r for r in corpus(2, 6)]
     con = duckdb.connect()

@@ -187,9 +187,26 @@ def shingle_counters(docs: DataFrame) -> np.ndarray:
 # ---- level 0: replicate to one-shingle pivots, meet, count ------------------------------------------------------------
 
 
+def pack_sets(sig: np.ndarray, size: np.ndarray, many: np.ndarray) -> bytes:
+    """Signatures, sizes and numbers of replicas of sets; 11 bytes a set, and 4 more for each number that its 2 bytes or 1 can't hold."""
+    wide = np.concatenate([size[size >= 0xFFFF], many[many >= 0xFF]]).astype("<u4")
+    columns = sig.astype("<i8"), np.minimum(size, 0xFFFF).astype("<u2"), np.minimum(many, 0xFF).astype(np.uint8), wide
+    return b"".join(c.tobytes() for c in (np.array([len(sig)], "<u4"), *columns))
+
+
+def unpack_sets(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = int(np.frombuffer(blob, "<u4", 1)[0])
+    sig = np.frombuffer(blob, "<i8", n, 4)
+    size, many = (np.frombuffer(blob, kind, n, 4 + at * n).astype(np.uint32) for kind, at in (("<u2", 8), (np.uint8, 10)))
+    wide = np.frombuffer(blob, "<u4", -1, 4 + 11 * n) if len(blob) > 4 + 11 * n else np.zeros(0, "<u4")
+    large = size == 0xFFFF
+    size[large], many[many == 0xFF] = np.split(wide, [large.sum()])
+    return sig, size, many
+
+
 def replicas(docs: DataFrame, counters, parts: int) -> DataFrame:
-    """Packed replicas: (part, sets, keys, place). A blob lists sets (signature, size, replicas in this part), then the replicas'
-    keys and places set by set. counters: a broadcast of the table."""
+    """Packed replicas: (part, sets, keys, place). A blob lists sets (pack_sets: signature, size, replicas in this part), then the
+    replicas' keys and places set by set. counters: a broadcast of the table."""
 
     def pack(sigs, sizes, keys, owner, place):
         part = ((keys & np.uint64(0xFFFFF)) % np.uint64(parts)).astype(np.int64)
@@ -205,8 +222,7 @@ def replicas(docs: DataFrame, counters, parts: int) -> DataFrame:
         for p in np.unique(run_part).tolist():
             a, z = edge[p], edge[p + 1]
             own = run_set[a:z]
-            sets = sigs[own].astype("<i8").tobytes() + sizes[own].astype("<u4").tobytes() + many[a:z].astype("<u4").tobytes()
-            out.append((p, sets, key[upto[a] : upto[z]].tobytes(), near[upto[a] : upto[z]].tobytes()))
+            out.append((p, pack_sets(sigs[own], sizes[own], many[a:z]), key[upto[a] : upto[z]].tobytes(), near[upto[a] : upto[z]].tobytes()))
         cols = list(zip(*out)) or [()] * 4
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int32(), *[pa.binary()] * 3])], ["part", "sets", "keys", "place"])
 
@@ -246,10 +262,8 @@ def meet(blobs: list[tuple[bytes, bytes, bytes]], clusters: tuple[np.ndarray, np
     region's largest cluster isn't paired with itself: a region costs its members times those outside that cluster."""
     sig, size, many, key, place = [], [], [], [], []
     for sets, k, p in blobs:
-        n = len(sets) // 16
-        sig.append(np.frombuffer(sets, "<i8", n))
-        size.append(np.frombuffer(sets, "<u4", n, 8 * n))
-        many.append(np.frombuffer(sets, "<u4", n, 12 * n))
+        for column, values in zip((sig, size, many), unpack_sets(sets)):
+            column.append(values)
         key.append(np.frombuffer(k, "<u4"))
         place.append(np.frombuffer(p, np.uint8))
     sig, size, many, key, place = map(np.concatenate, (sig, size, many, key, place))
