@@ -318,6 +318,20 @@ def test_candidates_equal_brute_force_on_all_passages(monkeypatch):
     assert want and got - close == want - close
 
 
+@pytest.mark.parametrize("rank", [0, 40, 384, 512])
+def test_latent_lengths_equal_those_of_projected_sums(monkeypatch, rank):
+    """In the space or by the directions left out, whichever are fewer, and in tiles."""
+    monkeypatch.setattr(decontam, "TILE", 7)
+    r = np.random.default_rng(rank)
+    turn = np.linalg.qr(r.normal(size=(decontam.SKETCH, decontam.SKETCH)))[0][:, :rank]
+    space = decontam.Space(np.ones(decontam.VOCABULARY), turn, np.ones(decontam.VOCABULARY))
+    assert space.narrow.shape[1] == min(rank, decontam.SKETCH - rank)
+    y = r.normal(size=(40, decontam.SKETCH)).astype(np.float32)
+    for wide, got in space.lengths(y, 33, [1, 3, 4, 12]).items():
+        want = [float(((y[k : k + wide].sum(0) @ turn) ** 2).sum()) for k in range(33)]
+        assert np.allclose(got, want, rtol=1e-4, atol=1e-6 * decontam.SKETCH)
+
+
 def test_longest_common_subsequence_by_brute_force():
     r = random.Random(2)
     for _ in range(300):

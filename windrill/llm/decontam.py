@@ -10,6 +10,8 @@
    candidates, all others are left. An item's threshold comes from DRAWS made-up passages that keep SHARE of its words and have
    words drawn by the corpus's counts in all other places: the QUANTILE of their cosines if any word is alike likely to be
    kept, or the least cosine if the 2 * ANSWERS rarest words are kept and the next rarest replaced, whichever is lower.
+   Cosines are taken without projecting a block: an item turned back to the sketch has the same products, and the length in the
+   space is the sketch's less that along the directions left out.
 4. Candidates are checked word by word: the longest common subsequence, bit-parallel, must reach SHARE of the item, within a
    stretch of STRETCH times its length (an eighth more may pass), and at least ANSWERS of the item's RAREST rarest words must be
    in it. Order, inflection of punctuation and case, and inserted or replaced words are thus tolerated up to 1 - SHARE.
@@ -42,8 +44,8 @@ VOCABULARY, SKETCH, RANK, PASSAGE, BLOCK = 1 << 15, 512, 384, 64, 16
 ITEM_BLOCK = 4096
 SHARE, STRETCH, ANSWERS, RAREST = 0.6, 1.6, 3, 8
 DRAWS, QUANTILE = 256, 0.02
-#: bytes of text a task handles at once; blocks and items that are multiplied at once
-PIECE, RUN, SIDE = 1 << 20, 8192, 256
+#: bytes of text a task handles at once; blocks and items that are multiplied at once, blocks whose lengths are summed at once
+PIECE, RUN, SIDE, TILE = 1 << 20, 8192, 256, 512
 
 _BREAK = np.array([not (c >= 128 or chr(c).isalnum()) for c in range(256)])
 
@@ -138,13 +140,34 @@ class Space:
         self.idf, self.turn = idf, turn.astype(np.float32)
         column, sign = _places()
         share = counts / max(1.0, counts.sum()) * idf
-        self.mean = (np.bincount(column[:, 0], share * sign[:, 0], SKETCH) + np.bincount(column[:, 1], share * sign[:, 1], SKETCH)).astype(np.float32) @ self.turn
+        self.middle = (np.bincount(column[:, 0], share * sign[:, 0], SKETCH) + np.bincount(column[:, 1], share * sign[:, 1], SKETCH)).astype(np.float32)
+        self.mean = self.middle @ self.turn
+        # lengths in the space are taken in it, or as what the directions left out leave of the sketch's, whichever are fewer
+        rank = turn.shape[1]
+        self.left_out = 2 * rank > SKETCH
+        self.narrow = np.linalg.qr(turn, mode="complete")[0][:, rank:].astype(np.float32) if self.left_out else self.turn
 
     def words(self, word: np.ndarray) -> np.ndarray:
         column, sign = _places()
         w = (self.turn[column[word, 0]] * sign[word, 0, None] + self.turn[column[word, 1]] * sign[word, 1, None]) * self.idf[word, None]
         return (w - self.mean).astype(np.float32)
 
+    def lengths(self, y: np.ndarray, many: int, wides: list[int]) -> dict[int, np.ndarray]:
+        """The squared latent length of the sum of `wide` centred sketch rows from each of the first many on; rows past the end are 0."""
+        out = {wide: np.zeros(many) for wide in wides}
+        kinds = [(y @ self.narrow, -1.0), (y, 1.0)] if self.left_out else [(y @ self.narrow, 1.0)]
+        for rows, sign in kinds:
+            for a in range(0, many, TILE):
+                z = min(many, a + TILE)
+                total, held = rows[a:z].copy(), 1
+                for wide in wides:
+                    for k in range(held, wide):
+                        more = rows[a + k : z + k]
+                        total[: len(more)] += more
+                    held = wide
+                    out[wide][a:z] += sign * np.einsum("ij,ij->i", total, total)
+        return out
+
 
 def latent_space(docs: DataFrame, idf: np.ndarray, counts: np.ndarray) -> Space:
     """The leading singular directions of the passages' centred, sketched TF-IDF."""
@@ -217,11 +240,13 @@ class Items:
         vectors = [space.words(bucket(w)) for w in words]
         raw = np.stack([v.sum(0) for v in vectors])
         self.vector = raw / np.maximum(np.linalg.norm(raw, axis=1, keepdims=True), 1e-9)
+        self.turned = self.vector @ space.turn.T
         self.threshold = self._thresholds(vectors, counts)
         weight = [space.idf[bucket(w)] for w in words]
         self.answers = [set(list(dict.fromkeys(w[np.argsort(-g, kind="stable")].tolist()))[:RAREST]) for w, g in zip(words, weight)]
         self.lists = [w.tolist() for w in words]
         self.kinds = [np.unique(w) for w in words]
+        self.buckets = [bucket(w) for w in self.kinds]
 
     def _thresholds(self, vectors: list[np.ndarray], counts: np.ndarray) -> np.ndarray:
         out = np.full(len(vectors), -1.0, np.float32)
@@ -259,41 +284,53 @@ class Items:
             z, far = min(len(start), a + RUN), min(len(start), a + RUN + most)
             mine = slice(edge[a], edge[far])
             block = np.repeat(np.arange(far - a), size[a:far])
-            latent = sketched(word[mine], block, weight[mine], far - a, places) @ self.space.turn - size[a:far, None] * self.space.mean
-            upto = np.zeros((far - a + 1, latent.shape[1]), np.float32)
-            np.cumsum(latent, axis=0, out=upto[1:])
-            for wide in np.unique(self.blocks).tolist():
-                here = np.arange(a, z)
+            sketch = sketched(word[mine], block, weight[mine], far - a, places) - size[a:far, None].astype(np.float32) * self.space.middle
+            wides = np.unique(self.blocks).tolist()
+            squares = self.space.lengths(sketch, z - a, wides)
+            for wide in wides:
                 # a passage that its text's end cuts is part of one before, but for the text's first
-                here = here[(here + wide <= last_block[a:z]) | first_block[a:z]]
-                end = np.minimum(here + wide, last_block[here])
-                v = upto[end - a] - upto[here - a]
-                v /= np.sqrt(np.maximum(np.einsum("ij,ij->i", v, v), 1e-18))[:, None]
+                whole = np.arange(a, z) + wide <= last_block[a:z]
+                cut = np.flatnonzero(~whole & first_block[a:z])
+                square = squares[wide]
+                for x in cut.tolist():
+                    v = sketch[x : last_block[a + x] - a].sum(0) @ self.space.turn
+                    square[x] = v @ v
+                length = np.sqrt(np.maximum(square, 1e-18))
+                whole[cut] = True
+                end = np.minimum(np.arange(a, z) + wide, last_block[a:z])
                 which = np.flatnonzero(self.blocks == wide)
                 for k in range(0, len(which), SIDE):
                     items = which[k : k + SIDE]
-                    cosine = v @ self.vector[items].T
-                    row, item = np.nonzero(cosine >= self.threshold[items])
-                    order = np.argsort(item, kind="stable")
-                    row, item = row[order], item[order]
+                    # a passage's product with an item is the sum of its blocks' products
+                    upto = np.zeros((len(items), z - a + most + 1))
+                    np.cumsum(self.turned[items] @ sketch.T, axis=1, dtype=np.float64, out=upto[:, 1 : far - a + 1])
+                    product = upto[:, wide : wide + z - a] - upto[:, : z - a]
+                    product[:, cut] = upto[:, end[cut] - a] - upto[:, cut]
+                    item, row = np.nonzero((product >= self.threshold[items, None] * length) & whole)
                     for part in np.split(np.arange(len(item)), np.flatnonzero(np.diff(item)) + 1):
                         if len(part):
-                            yield items[item[part[0]]], here[row[part]], cosine[row[part], item[part[0]]], edge[here[row[part]]], edge[end[row[part]]]
+                            some = row[part]
+                            yield items[item[part[0]]], a + some, product[item[part[0]], some] / length[some], edge[a + some], edge[end[some]]
 
     def search(self, h: np.ndarray, at: np.ndarray, places):
         """Yields (text, item, common words, cosine, start, end) of what a run of texts holds."""
         if not len(h):
             return
         _, own = _starts(at, BLOCK)
+        word, marked = bucket(h).astype(np.uint16), np.zeros(VOCABULARY, bool)
         for k, block, cosine, first, end in self.candidates(h, at, places):
             kinds, item = self.kinds[k], self.lists[k]
             index = first[:, None] + np.arange(int((end - first).max()))
-            inside = index < end[:, None]
-            passage = h[np.minimum(index, len(h) - 1)]
-            held = (kinds[np.minimum(np.searchsorted(kinds, passage), len(kinds) - 1)] == passage) & inside
+            # words are looked up by bucket first; one bucket's words can only count too many
+            marked[self.buckets[k]] = True
+            held = marked[word[np.minimum(index, len(h) - 1)]] & (index < end[:, None])
+            marked[self.buckets[k]] = False
             for x in np.flatnonzero(held.sum(1) >= self.need[k]).tolist():
+                passage = h[first[x] : end[x]]
+                if (kinds[np.minimum(np.searchsorted(kinds, passage), len(kinds) - 1)] == passage).sum() < self.need[k]:
+                    continue
                 text, begin = own[block[x]], first[x] - at[own[block[x]]]
-                words = h[first[x] : end[x]].tolist()
+                words = passage.tolist()
                 enough = min(ANSWERS, -(-len(self.answers[k]) // 2))
                 if len(self.answers[k].intersection(words)) < enough:
                     continue
