@@ -1,7 +1,7 @@
 """Windows against plain-Python models of their meaning, on random rows."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 from datetime import datetime, timedelta, timezone
 
 import numpy as np
@@ -9,9 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from windrill.errors import AnalysisError
-from windrill.functions.sketches import cms_counts
+from windrill.functions.sketches import cms_cells, cms_counts, cms_estimate
 from windrill.operators import windows
 from windrill.plans.compiler import Query
+from windrill.queries import QUERIES
 
 T0 = datetime(2030, 1, 1, tzinfo=timezone.utc)
 
@@ -176,6 +177,33 @@ def test_sketches_are_close(spark):
     assert (counts >= 2).all() and (counts >= 3)[:10_000].all() and (counts <= 3 + 50).all()
 
 
+def test_sketch_estimates_as_columns_equal_the_bytes(spark):
+    """The same estimate for every whole number, by columns alone: no sketch is given to Python once an item."""
+    counted = [-(1 << 63), -5, -1, 0, 1, 1499, 1 << 31, (1 << 32) + 7, (1 << 63) - 1] * 3 + [7, None]
+    df = spark.createDataFrame([(x, 1) for x in counted] + [(x * x * 104_729, 1) for x in range(9000)], "x long, k long")
+    sketches = Query.parse("from t window slice 10 rows based on k aggregate cms(x) as c append c to v").run(df)
+    r = random.Random(3)
+    items = [*counted[:9], 7, *(r.randrange(-(1 << 63), 1 << 63) for _ in range(500)), *(x * x * 104_729 for x in range(1000))]
+    asked = spark.createDataFrame([(x,) for x in items] + [(None,)], "x long")
+    out = asked.crossJoin(sketches.select(cms_cells("c").alias("cells"))).select("x", cms_estimate("cells", "x").alias("n"))
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    want = cms_counts(bytes(sketches.first().c), np.array(items))
+    assert want.min() >= 0 and len(set(want)) > 3
+    assert sorted(map(tuple, out.where("x is not null").collect())) == sorted(zip(items, want.tolist()))
+    assert [r.n for r in out.where("x is null").collect()] == [None]
+
+
+def test_agg_cms_keeps_all_rows_without_python(spark, tmp_path):
+    """As its SQL, also for events without a type or a user; the work for a row doesn't grow with the sketch."""
+    r = random.Random(4)
+    rows = [(i, datetime(2024, 1, 1) + timedelta(days=10 * (i % 3)), r.choice([None, -3, 5, 6, 1 << 40]), r.choice([None, "view", "click"])) for i in range(900)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    out = QUERIES["agg_cms"](spark, str(tmp_path))
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    want = Counter((t, u, i % 3) for i, _, u, t in rows)
+    assert Counter(map(tuple, out.collect())) == Counter((t, u, n, True) for (t, u, _), n in want.items())
+
+
 def test_uniq_is_within_one_percent(spark):
     df = spark.range(1_200_000).selectExpr("id % 6 as g", "id as x", "cast(1 as long) as k")
     for function in ("uniq", "hll"):
